@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from . import decontaminate
+from .decontaminate import op6_decontaminate
 from .quality import op2_quality
+from .simhash import op9_simhash
 from .toxicity import op8_toxicity
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op6_decontaminate": op6_decontaminate,
     "op8_toxicity": op8_toxicity,
+    "op9_simhash": op9_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE_SQL}
