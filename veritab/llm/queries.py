@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, warc
 from .bpe import op4_bpe
 from .decontaminate import op6_decontaminate
 from .lm import op10_lm
 from .quality import op2_quality
 from .simhash import op9_simhash
 from .toxicity import op8_toxicity
+from .warc import op7_warc
 
 QUERIES = {
     "op2_quality": op2_quality,
     "op4_bpe": op4_bpe,
     "op6_decontaminate": op6_decontaminate,
+    "op7_warc": op7_warc,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_lm": op10_lm,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL}
