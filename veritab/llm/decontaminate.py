@@ -21,8 +21,9 @@ from .common import checkpointed, table
 WINDOW = 10
 #: A side of a join is broadcast only if its words have this many bytes at most (counted first).
 BROADCAST_BYTES = 16 << 20
-#: Words before A-Z is lower-cased, and the two alphabets.
+#: Words of texts with and without A-Z, and the two alphabets.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,8 +32,8 @@ def lowered(w: Column) -> Column:
     return F.when(F.octet_length(w) == F.char_length(w), F.lower(w)).when(w.rlike("[A-Z]"), F.translate(w, UPPER, LOWER)).otherwise(w)
 
 
-def raw_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RAW_WORD), F.lit(0))
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(lowered(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def _sized(df: DataFrame, size: Column) -> tuple[DataFrame, bool]:
@@ -43,7 +44,7 @@ def _sized(df: DataFrame, size: Column) -> tuple[DataFrame, bool]:
 
 def windows_of(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """(wid, words, len) of each distinct window, and (wid, item_id)."""
-    items = benchmark.where("item_id IS NOT NULL").select("item_id", F.transform(raw_words(F.col("text")), lowered).alias("w")).where(F.size("w") > 0)
+    items = benchmark.where("item_id IS NOT NULL").select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     cut = F.when(F.size("w") <= window, F.array("w")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1))), lambda i: F.slice("w", i, window)))
     of_items = checkpointed(items.select("item_id", F.explode(cut).alias("words")).distinct())
     distinct = checkpointed(of_items.select("words").distinct().select(F.monotonically_increasing_id().alias("wid"), "words", F.size("words").alias("len")))
@@ -54,7 +55,7 @@ def anchors_of(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(token, at, wid, words, len): the rarest word of each window in the documents, and its place."""
     vocabulary = checkpointed(windows.select(F.explode("words").alias("token")).distinct())
     known, _ = _sized(vocabulary, F.octet_length("token"))
-    tokens = docs.select(F.explode(raw_words(F.col("text"))).alias("r")).select(lowered(F.col("r")).alias("token"))
+    tokens = docs.select(F.explode(words_of(F.col("text"))).alias("token"))
     counts = tokens.join(known, "token").groupBy("token").agg(F.count("*").alias("n"))
     counts = checkpointed(vocabulary.join(counts, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n")))
     places = windows.select("wid", F.posexplode("words").alias("at", "token")).join(counts, "token")
@@ -65,16 +66,16 @@ def anchors_of(docs: DataFrame, windows: DataFrame) -> DataFrame:
 def occurrences(docs: DataFrame, anchors: DataFrame, reach: int) -> DataFrame:
     """(doc_id, h, start, len, wid): every place where a window occurs in a row of docs; start counts from 0."""
     side, small = _sized(anchors, F.octet_length("token") + F.aggregate("words", F.lit(0), lambda a, w: a + F.octet_length(w) + 8))
-    listed = docs.select("doc_id", F.xxhash64("text").alias("h"), raw_words(F.col("text")).alias("all"))
-    placed = listed.select("doc_id", "h", "all", F.posexplode("all").alias("p", "r"))
-    if small:
-        near = placed.select("doc_id", "h", "p", F.col("all").alias("near"), F.lit(0).alias("skip"), lowered(F.col("r")).alias("token"))
+    listed = docs.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("all"))
+    placed = listed.select("doc_id", "h", "all", F.posexplode("all").alias("p", "token"))
+    if small:  # one stage of generated code: "all" is never copied
+        near = placed.select("doc_id", "h", "p", "token", F.col("all").alias("near"), F.lit(0).alias("skip"))
     else:  # the rows are shuffled: each takes only the words that a window can reach
         skip = F.greatest(F.col("p") - (reach - 1), F.lit(0))
-        near = placed.select("doc_id", "h", "p", F.slice("all", skip + 1, 2 * reach - 1).alias("near"), skip.alias("skip"), lowered(F.col("r")).alias("token"))
+        near = placed.select("doc_id", "h", "p", "token", F.slice("all", skip + 1, 2 * reach - 1).alias("near"), skip.alias("skip"))
     start = F.col("p") - F.col("at")
     met = near.join(side, "token").where((start >= 0) & (start - F.col("skip") + F.col("len") <= F.size("near")))
-    same = F.transform(F.slice("near", F.greatest(start - F.col("skip") + 1, F.lit(1)), F.col("len")), lowered) == F.col("words")
+    same = F.slice("near", F.greatest(start - F.col("skip") + 1, F.lit(1)), F.col("len")) == F.col("words")
     return met.where(same).select("doc_id", "h", start.alias("start"), "len", "wid")
 
 

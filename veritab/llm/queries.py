@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontaminate, warc
+from . import decontaminate, urls, warc
+from .ann import op1_ann
 from .bpe import op4_bpe
 from .decontaminate import op6_decontaminate
 from .lm import op10_lm
 from .quality import op2_quality
 from .simhash import op9_simhash
 from .toxicity import op8_toxicity
+from .urls import op5_urls
 from .warc import op7_warc
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op2_quality": op2_quality,
     "op4_bpe": op4_bpe,
+    "op5_urls": op5_urls,
     "op6_decontaminate": op6_decontaminate,
     "op7_warc": op7_warc,
     "op8_toxicity": op8_toxicity,
@@ -21,4 +25,4 @@ QUERIES = {
     "op10_lm": op10_lm,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_urls": urls.ORACLE_SQL, "op6_decontaminate": decontaminate.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL}
