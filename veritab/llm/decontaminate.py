@@ -106,6 +106,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs that hold no window of the benchmark, with docs' columns."""
     found = contamination(docs, benchmark, window).select(F.col("doc_id").alias("_d"), F.col("h").alias("_g"))
+    found, _ = _sized(checkpointed(found), F.lit(0))
     return docs.join(found, docs.doc_id.eqNullSafe(found._d) & (F.xxhash64(docs.text) == found._g), "left_anti")
 
 

@@ -31,6 +31,8 @@ WORDS, SEED, DISTANCE = 4, 42, 4
 #: First bits of the segments, and the end.
 SEGMENTS = (0, 21, 42, 64)
 MEET = 4096
+#: Rows to be dropped are broadcast up to this many (about 50 bytes each).
+BROADCAST_ROWS = 200_000
 _STEP = 1 << 16
 
 
@@ -214,16 +216,37 @@ def near_links(distinct: DataFrame, most: int = DISTANCE, meet: int = MEET) -> D
     return first.union(second).distinct()
 
 
+def labelled(prints: DataFrame, most: int = DISTANCE, meet: int = MEET) -> DataFrame:
+    """prints (with doc_id and fp) with component_id, and root: one fingerprint for each component."""
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(near_links(distinct, most, meet)).select(F.col("node").alias("fp"), "root")
+    rooted = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(checkpointed(rooted.join(named, "root").select("fp", "root", "component_id")), "fp")
+
+
 def near_duplicates(docs: DataFrame, most: int = DISTANCE, meet: int = MEET) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable over links) of every row of docs."""
     prints = written(fingerprints(docs.select("doc_id", "text")), "simhash-prints")
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_links(distinct, most, meet))
-    linked = distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "least")
-    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_linked = linked.join(named, "root").select("fp", "component_id")
-    apart = distinct.join(of_linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
-    return prints.join(checkpointed(of_linked.union(apart)), "fp").select("doc_id", "fp", "component_id")
+    return labelled(prints, most, meet).select("doc_id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, most: int = DISTANCE, meet: int = MEET) -> DataFrame:
+    """docs with one row of each component: that with the smallest doc_id (null ids last), then by its text's hash."""
+    h = F.xxhash64("text")
+    prints = written(fingerprints(docs.select("doc_id", h.alias("h"), "text")), "simhash-prints")
+    rows = labelled(prints, most, meet).groupBy("root", "doc_id", "h").agg(F.count("*").alias("n"))
+    rows = checkpointed(rows)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first"))
+    judged = rows.join(first, "root").select("doc_id", "h", "n", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))).alias("stays"))
+    # What goes, and what stays once of several equal rows; broadcast only if few.
+    special = checkpointed(judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "stays"))
+    side = F.broadcast(special) if special.count() <= BROADCAST_ROWS else special
+    met = docs.join(side, docs.doc_id.eqNullSafe(side["_d"]) & (h == side["_h"]), "left")
+    once = met.where("_h IS NULL").select(*docs.columns)
+    if not special.where("stays").take(1):
+        return once
+    return once.union(met.where("stays").dropDuplicates(["_d", "_h"]).select(*docs.columns))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
