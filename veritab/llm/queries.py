@@ -6,6 +6,7 @@ from . import decontaminate, urls, warc
 from .ann import op1_ann
 from .bpe import op4_bpe
 from .decontaminate import op6_decontaminate
+from .licenses import op3_licenses
 from .lm import op10_lm
 from .quality import op2_quality
 from .simhash import op9_simhash
@@ -16,6 +17,7 @@ from .warc import op7_warc
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_quality": op2_quality,
+    "op3_licenses": op3_licenses,
     "op4_bpe": op4_bpe,
     "op5_urls": op5_urls,
     "op6_decontaminate": op6_decontaminate,
