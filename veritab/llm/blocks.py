@@ -8,11 +8,13 @@ back to the blocks that asked; a block puts the answers in the places of the wor
 So a word is shuffled once a block, not once an occurrence, whatever its frequency; a block and a
 bucket have bounded sizes (the number of buckets follows the number of input partitions). Blocks
 are written to the shared folder, hence block numbers and their texts stay together when a lost
-executor makes Spark run a task again.
+executor makes Spark run a task again; they are bucketed by block, so only answers are shuffled
+when the two meet.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -22,16 +24,15 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions_of, written
+from .common import bounded_batches, partitions_of, shared_dir
 
 #: Words in a block, after which it is closed (a longer text is a block of its own).
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 22
 #: Distinct words of a block, after which it is closed.
-BLOCK_DISTINCT = 300_000
+BLOCK_DISTINCT = 600_000
 
-STAGED = "kind int, block long, bucket int, blob binary"
+STAGED = "block long, texts binary, words binary"
 _PACK = zstandard.ZstdCompressor(level=1)
 
 
@@ -78,15 +79,35 @@ def from_ipc(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
+def planes(x: np.ndarray, n: int) -> bytes:
+    """The n low bytes of whole numbers, all lowest bytes first: packs better than the numbers."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :n].T).tobytes()
+
+
+def from_planes(data: bytes, n: int) -> np.ndarray:
+    parts = np.frombuffer(data, np.uint8).reshape(n, -1)
+    out = np.zeros((parts.shape[1], 4), np.uint8)
+    out[:, :n] = parts.T
+    return out.view("<u4").ravel()
+
+
+def pack_words(listed: list[bytes]) -> tuple[bytes, bytes]:
+    return planes(np.fromiter(map(len, listed), np.uint32, len(listed)), 4), b"".join(listed)
+
+
+def unpack_words(lengths: bytes, data: bytes) -> list[bytes]:
+    return slices(data, from_planes(lengths, 4).astype(np.int64)) if lengths else []
+
+
 def staged(docs: DataFrame, split: Callable[[pa.Array], Iterator[list]], name: str, text: str = "text", weight: str | None = None) -> DataFrame:
-    """docs as blocks, written to the shared folder.
+    """docs as blocks (block, texts, words), a table in the shared folder that is bucketed by block.
 
-    split: the words (bytes) of each of some texts. Rows of kind 0 are blocks: the columns but
-    the text, word counts, positions. Rows of kind 1 are the words that a block asks a bucket
-    for: their numbers in the block, lengths, bytes and how often they occur in rows whose weight
-    column is true (all rows without such a column).
+    split: the words (bytes) of each of some texts. texts has the other columns, word counts and
+    positions; words has the dictionary in the order of its buckets and, if a weight column is
+    named, how often each word occurs in rows where that column is true.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     buckets = max(16, partitions_of(docs))
     kept = [c for c in docs.columns if c != text]
 
@@ -98,25 +119,23 @@ def staged(docs: DataFrame, split: Callable[[pa.Array], Iterator[list]], name: s
             block = int(rng.integers(1, 1 << 62))
             code = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
             count = np.array(sizes, dtype=np.int64)
-            carried = pa.Table.from_batches(rows).slice(0, len(sizes)).combine_chunks()
-            head = ipc(carried.to_batches()[0] if carried.num_rows else pa.RecordBatch.from_pylist([], schema=carried.schema))
+            carried = pa.Table.from_batches(rows).combine_chunks()
             listed = list(words)
-            lengths = np.fromiter(map(len, listed), np.uint32, len(listed))
-            tally = np.bincount(code[np.repeat(np.array(weights, dtype=bool), count)] if weight else code, minlength=len(listed))
-            of = np.fromiter(map(zlib.crc32, listed), np.uint32, len(listed)) % buckets
-            order = np.lexsort((np.arange(len(listed)), of)) if len(listed) else np.zeros(0, np.int64)
+            n = len(listed)
+            of = np.fromiter(map(zlib.crc32, listed), np.uint32, n) % buckets
+            order = np.lexsort((-np.bincount(code, minlength=n), of))  # by bucket, frequent words first
             bounds = np.searchsorted(of[order], np.arange(buckets + 1))
-            kinds, at, blobs = [0], [-1], [pack(head, count, code)]
-            for k in np.flatnonzero(bounds[1:] > bounds[:-1]):
-                own = order[bounds[k] : bounds[k + 1]]
-                kinds.append(1)
-                at.append(int(k))
-                blobs.append(pack(own.astype(np.uint32), lengths[own], b"".join([listed[i] for i in own.tolist()]), tally[own].astype(np.int64)))
-            out = pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([block] * len(kinds), pa.int64()), pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "block", "bucket", "blob"])
+            rank = np.empty(n, np.int64)
+            rank[order] = np.arange(n) - bounds[of[order]]
+            texts = pack(ipc(carried.to_batches()[0]), count, bounds.astype(np.int64), planes(of[code], 2), planes(rank[code], 3))
+            tally = b""
+            if weight:
+                tally = np.bincount(code[np.repeat(np.array(weights, dtype=bool), count)], minlength=n)[order].astype(np.int64).tobytes()
+            asks = pack(bounds.astype(np.int64), *pack_words([listed[k] for k in order.tolist()]), tally)
             words.clear()
             for x in (sizes, codes, rows, weights):
                 x.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([texts], pa.binary()), pa.array([asks], pa.binary())], names=["block", "texts", "words"])
 
         seen = 0
         for b in batches:
@@ -137,33 +156,49 @@ def staged(docs: DataFrame, split: Callable[[pa.Array], Iterator[list]], name: s
         if sizes:
             yield close()
 
-    return written(docs.mapInArrow(run, STAGED), name, codec="uncompressed")
+    tag = f"{name}_{uuid.uuid4().hex}"
+    made = docs.mapInArrow(run, STAGED).write.option("compression", "uncompressed").option("path", f"{shared_dir(spark).rstrip('/')}/{tag}")
+    made.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(tag)
+    return spark.table(tag)
 
 
 def asked(staged_blocks: DataFrame) -> DataFrame:
-    return staged_blocks.where("kind = 1").select("block", "bucket", "blob")
+    """(block, bucket, blob): the words that a block asks a bucket for, and their tallies."""
+
+    def run(batches):
+        for b in batches:
+            for block, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                bounds, lengths, data, tally = unpack(blob.as_py(), np.int64, None, None, np.int64)
+                listed = unpack_words(lengths, data)
+                at, blobs = [], []
+                for k in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
+                    lo, hi = int(bounds[k]), int(bounds[k + 1])
+                    at.append(k)
+                    blobs.append(pack(*pack_words(listed[lo:hi]), tally[lo:hi]))
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=["block", "bucket", "blob"])
+
+    return staged_blocks.select("block", "words").mapInArrow(run, "block long, bucket int, blob binary")
 
 
 def answered(staged_blocks: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, np.ndarray, np.ndarray, list], pd.DataFrame], asks: tuple, schema) -> DataFrame:
-    """Rows that finish makes of each block: its columns, word counts, positions and the answers' blobs.
+    """Rows that finish makes of each block: its columns, word counts, positions and answers.
 
-    answers: (block, blob), a blob for each bucket that the block has asked.
+    answers: (block, bucket, blob), for each bucket that the block has asked, in its words' order;
+    finish gets the numbers of those words and the blob's parts.
     """
-    texts = staged_blocks.where("kind = 0").select("block", "blob")
 
     def run(block_rows: pd.DataFrame, answer_rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for blob in block_rows["blob"]:
-            head, count, code = unpack(blob, None, np.int64, np.uint32)
-            out.append(finish(from_ipc(head), count, code, [unpack(x, *asks) for x in answer_rows["blob"]]))
+        for blob in block_rows["texts"]:
+            head, count, bounds, of, rank = unpack(blob, None, np.int64, np.int64, None, None)
+            code = bounds[from_planes(of, 2)] + from_planes(rank, 3)
+            got = [(slice(int(bounds[k]), int(bounds[k + 1])), *unpack(x, *asks)) for k, x in zip(answer_rows["bucket"].tolist(), answer_rows["blob"], strict=True)]
+            out.append(finish(from_ipc(head), count, code, got))
         return pd.concat(out) if len(out) > 1 else out[0]
 
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
+    return staged_blocks.select("block", "texts").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
 
 
 def by_bucket(asks: DataFrame, answer: Callable, schema: str) -> DataFrame:
     """answer(rows) for the asks of each bucket."""
     return asks.groupBy("bucket").applyInPandas(answer, schema)
-
-
-__all__ = ["F", "answered", "asked", "by_bucket", "pack", "slices", "staged", "unpack"]

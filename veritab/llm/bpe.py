@@ -100,8 +100,7 @@ def pieces(file: str) -> list[bytes]:
 
 def _encode_bucket(file: str):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        asks = [blocks.unpack(x, np.uint32, np.uint32, None, np.int64) for x in rows["blob"]]
-        listed = [blocks.slices(data, lengths) for _, lengths, data, _ in asks]
+        listed = [blocks.unpack_words(*blocks.unpack(x, None, None, None)[:2]) for x in rows["blob"]]
         distinct = sorted(set().union(*listed)) if listed else []
         t = _tokenizer(file)
         ids_of = {}
@@ -110,10 +109,10 @@ def _encode_bucket(file: str):
             encoded = t.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             ids_of.update(zip(part, (np.array(e.ids, dtype="<u4") for e in encoded), strict=True))
         blobs = []
-        for (number, _, _, _), words in zip(asks, listed, strict=True):
+        for words in listed:
             found = [ids_of[w] for w in words]
-            blobs.append(blocks.pack(number, np.fromiter(map(len, found), np.uint32, len(found)), np.concatenate([np.zeros(0, "<u4"), *found]).astype("<u4")))
-        return pd.DataFrame({"block": rows["block"].to_numpy(), "blob": blobs})
+            blobs.append(blocks.pack(blocks.planes(np.fromiter(map(len, found), np.uint32, len(found)), 4), blocks.planes(np.concatenate([np.zeros(0, "<u4"), *found]), 4)))
+        return pd.DataFrame({"block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "blob": blobs})
 
     return run
 
@@ -124,19 +123,20 @@ def tokenized(docs: DataFrame, file: str | None = None, outputs: tuple[str, ...]
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in OUTPUTS])
     kinds = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(), "decoded": T.StringType()}
     schema = T.StructType([f for f in docs.schema.fields if f.name != text] + [T.StructField(o, kinds[o]) for o in outputs])
-    staged = blocks.staged(docs, lambda texts: (split_words(x.as_py() or "", file) for x in texts), "bpe-blocks", text)
-    answers = blocks.by_bucket(blocks.asked(staged), _encode_bucket(file), "block long, blob binary")
+    staged = blocks.staged(docs, lambda texts: (split_words(x.as_py() or "", file) for x in texts), "veritab_bpe", text)
+    answers = blocks.by_bucket(blocks.asked(staged), _encode_bucket(file), "block long, bucket int, blob binary")
     piece_table = docs.sparkSession.sparkContext.broadcast(pieces(file))  # a row for each id of the vocabulary file
 
     def finish(rows: pa.Table, count: np.ndarray, code: np.ndarray, got: list) -> pd.DataFrame:
         n = int(code.max()) + 1 if len(code) else 0
         ids_of, text_of, many = [b""] * n, [b""] * n, np.zeros(n, np.int64)
         piece = piece_table.value
-        for number, lengths, ids in got:
-            many[number] = lengths
+        for place, lengths, ids in got:
+            lengths, ids = blocks.from_planes(lengths, 4), blocks.from_planes(ids, 4)
+            many[place] = lengths
             listed = [piece[i] for i in ids.tolist()]
             raw, ends = ids.tobytes(), np.cumsum(lengths).tolist()
-            for k, s, e in zip(number.tolist(), [0, *ends[:-1]], ends, strict=True):
+            for k, s, e in zip(range(place.start, place.stop), [0, *ends[:-1]], ends, strict=True):
                 ids_of[k] = raw[4 * s : 4 * e]
                 text_of[k] = listed[s] if e - s == 1 else b"".join(listed[s:e])
         out = rows.to_pandas(types_mapper=lambda t: pd.ArrowDtype(t)) if rows.num_columns else pd.DataFrame(index=range(len(count)))
@@ -161,7 +161,7 @@ def tokenized(docs: DataFrame, file: str | None = None, outputs: tuple[str, ...]
             at += size
         return out.assign(**made)
 
-    return blocks.answered(staged, answers, finish, (np.uint32, np.uint32, "<u4"), schema)
+    return blocks.answered(staged, answers, finish, (None, None), schema)
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
