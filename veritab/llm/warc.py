@@ -3,8 +3,8 @@
 Reading. Archives are cut at every occurrence of the record magic, which Spark's text source does
 in splits of any size. Each piece is a candidate record at some offset; a candidate with a sound
 header names its successor, the offset after its declared payload. Only the candidates that the
-chain of successors reaches from the file's start are records: pointer jumping doubles the
-stretch that is known to be reachable every round. A magic inside a payload starts a candidate
+chain of successors reaches from the file's start are records: splits follow their own chains,
+and pointer jumping over splits doubles the stretch known to be reachable every round. A magic inside a payload starts a candidate
 that no record leads to; its piece goes back to the payload it was cut from.
 
 Writing. Of the rows with equal payloads of at least MIN_REVISIT bytes, the one with the largest
@@ -24,6 +24,7 @@ import hashlib
 import re
 import uuid
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -113,22 +114,48 @@ def _pieces(batches):
 _ARROW = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in _PIECES.split(", "))])
 
 
+def _leaving(_, rows: pd.DataFrame) -> pd.DataFrame:
+    """For each candidate of a split, the first offset of its chain that is no candidate of the split."""
+    rows = rows.sort_values("at")
+    out: dict[int, int] = {}
+    for at, onward in zip(rows["at"].tolist()[::-1], rows["next"].tolist()[::-1], strict=True):
+        out[at] = out.get(onward, onward)
+    return pd.DataFrame({"file": rows["file"], "split": rows["split"], "at": rows["at"], "leaves": [out[a] for a in rows["at"]]})
+
+
+def _passed(_, rows: pd.DataFrame) -> pd.DataFrame:
+    """The candidates of a split that the chain from its entry passes."""
+    onward, out = dict(zip(rows["at"].tolist(), rows["next"].tolist(), strict=True)), []
+    at = int(rows["entry"].iloc[0])
+    while at in onward:
+        out.append(at)
+        at = onward[at]
+    return pd.DataFrame({"file": [rows["file"].iloc[0]] * len(out), "at": out})
+
+
 def reachable(nodes: DataFrame) -> DataFrame:
-    """Of nodes (file, at, next), those (file, at) that the chains from each file's start reach.
+    """Of nodes (file, split, at, next), those (file, at) that the chains from each file's start reach.
 
-    Pointer jumping: after round i every node knows the node 2**i steps on, and the nodes known
-    to be reachable are all those less than 2**i steps from the start.
+    Each split first follows its own chains to where they leave it. Pointer jumping over splits
+    then finds where the chain from the start enters each: after round i every candidate knows
+    where its chain is 2**i splits on, and all entries less than 2**i splits from the start are
+    known. A last look at each split walks from its entry.
     """
-    jump = checkpointed(nodes.select("file", "at", "next"))
-    known = checkpointed(jump.groupBy("file").agg(F.min("at").alias("at")).where("at = 0"))
-    while True:
-        onward = known.join(jump, ["file", "at"]).where("next IS NOT NULL").select("file", F.col("next").alias("at")).join(nodes.select("file", "at"), ["file", "at"], "left_semi")
-        grown = checkpointed(known.union(onward).distinct())
-        if grown.count() == known.count():
-            return known
-        known = grown
-        far = jump.select("file", F.col("at").alias("next"), F.col("next").alias("further"))
-        jump = checkpointed(jump.join(far, ["file", "next"], "left").select("file", "at", F.col("further").alias("next")))
+    leaving = checkpointed(nodes.groupBy("file", "split").applyInPandas(_leaving, "file string, split long, at long, leaves long"))
+    places = leaving.select("file", "split", "at")
+    entries = leaving.where("at = 0").select("file", "split", "at")
+    jump = leaving.select("file", "at", "leaves")
+    found = entries.count()
+    while found:
+        onward = entries.join(jump, ["file", "at"]).select("file", F.col("leaves").alias("at")).join(places, ["file", "at"])
+        entries = checkpointed(entries.unionByName(onward.select("file", "split", "at")).distinct())
+        if (now := entries.count()) == found:
+            break
+        found = now
+        further = jump.select("file", F.col("at").alias("leaves"), F.col("leaves").alias("further"))
+        jump = checkpointed(jump.join(further, ["file", "leaves"]).select("file", "at", F.col("further").alias("leaves")))
+    entered = nodes.join(entries.select("file", "split", F.col("at").alias("entry")), ["file", "split"])
+    return checkpointed(entered.groupBy("file", "split").applyInPandas(_passed, "file string, at long"))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -143,8 +170,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     pieces = pieces.join(F.broadcast(base) if totals.count() <= BROADCAST_ROWS else base, ["file", "split"])
     # A piece at p follows the magic at p - len(MAGIC), where its record starts.
     placed = pieces.withColumns({"at": F.col("base") + F.col("at"), "next": F.col("base") + F.col("next")}).where("at >= 0")
-    nodes = checkpointed(placed.select("file", "at", "next", "size", F.col("digest").isNull().alias("open")))
-    known = reachable(nodes.where("next IS NOT NULL"))
+    nodes = checkpointed(placed.select("file", "split", "at", "next", F.col("digest").isNull().alias("open")))
+    known = reachable(nodes.where("next IS NOT NULL").select("file", "split", "at", "next"))
     records = placed.join(known, ["file", "at"])
     whole = records.where("digest IS NOT NULL")
     # Payloads that were cut at a magic: their pieces are those up to the next record.
