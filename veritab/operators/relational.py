@@ -115,16 +115,22 @@ def _cut(df: DataFrame) -> DataFrame:
 def similar_pairs(df: DataFrame, node: str, tokens: str, least: float) -> DataFrame:
     """Edges (a, b), a before b, of nodes whose tokens are similar: the share of the left node's tokens that prefix-match.
 
-    Candidates meet on the first three letters of a token (shorter tokens on all they have), never
-    all with all; for tokens that prefix-match agree there. Shorter tokens meet every token they start.
+    A left node of n tokens needs matches for at least least * n of them, so one of its
+    n - ceil(least * n) + 1 rarest tokens must match: only those look for partners. Tokens that
+    prefix-match agree on their first three letters, or on all letters of the shorter one.
     """
-    t = df.select(F.col(node).alias("n"), F.col(tokens).alias("t"))
-    own = t.select("n", "t", F.explode(F.array_distinct(F.transform("t", lambda x: F.left(x, F.lit(3))))).alias("k"))
-    # A token of fewer than three letters is also reachable from the longer ones that it starts.
-    shorter = t.select("n", "t", F.explode(F.array_distinct(F.flatten(F.transform("t", lambda x: F.transform(F.filter(F.array(F.lit(1), F.lit(2)), lambda k: k < F.length(x)), lambda k: F.left(x, k)))))).alias("k"))
-    full = own.withColumn("whole", F.lit(True)).union(shorter.withColumn("whole", F.lit(False)))
-    l, r = full.alias("l"), full.alias("r")
-    met = l.join(r, (F.col("l.k") == F.col("r.k")) & (F.col("l.n") < F.col("r.n")) & (F.col("l.whole") | F.col("r.whole"))).select(F.col("l.n").alias("a"), F.col("r.n").alias("b"), F.col("l.t").alias("lt"), F.col("r.t").alias("rt")).distinct()
+    t = df.select(F.col(node).alias("n"), F.col(tokens).alias("t")).where(F.size("t") > 0)
+    each = t.select("n", "t", F.explode(F.array_distinct("t")).alias("x")).withColumn("k", F.left("x", F.lit(3)))
+    common = each.groupBy("k").agg(F.count("*").alias("c"))
+    rank = F.row_number().over(Window.partitionBy("n").orderBy("c", "x"))
+    probes = each.join(common, "k").withColumn("r", rank).where(F.col("r") <= F.size("t") - F.ceil(least * F.size("t")) + 1)
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        shorter = F.transform(F.filter(F.array(F.lit(1), F.lit(2)), lambda k: k < F.length("x")), lambda k: F.struct(F.left("x", k).alias("k"), F.lit(False).alias("whole")))
+        return rows.select("n", "t", F.inline(F.concat(F.array(F.struct(F.col("k"), F.lit(True).alias("whole"))), shorter)))
+
+    l, r = keyed(probes).alias("l"), keyed(each).alias("r")
+    met = l.join(r, (F.col("l.k") == F.col("r.k")) & (F.col("l.n") < F.col("r.n")) & (F.col("l.whole") | F.col("r.whole"))).select(F.col("l.n").alias("a"), F.col("r.n").alias("b"), F.col("l.t").alias("lt"), F.col("r.t").alias("rt")).dropDuplicates(["a", "b"])
     shared = F.size(F.filter("lt", lambda x: F.exists("rt", lambda y: x.startswith(y) | y.startswith(x))))
     return met.where(shared / F.size(F.array_union("lt", "rt")) >= least).select("a", "b")
 
