@@ -20,7 +20,6 @@ from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -28,9 +27,9 @@ from pyspark.sql import DataFrame
 from .common import bounded_batches, partitions_of, shared_dir
 
 #: Words in a block, after which it is closed (a longer text is a block of its own).
-BLOCK_WORDS = 1 << 22
+BLOCK_WORDS = 1 << 21
 #: Distinct words of a block, after which it is closed.
-BLOCK_DISTINCT = 600_000
+BLOCK_DISTINCT = 400_000
 
 STAGED = "block long, texts binary, words binary"
 _PACK = zstandard.ZstdCompressor(level=1)
@@ -180,23 +179,23 @@ def asked(staged_blocks: DataFrame) -> DataFrame:
     return staged_blocks.select("block", "words").mapInArrow(run, "block long, bucket int, blob binary")
 
 
-def answered(staged_blocks: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, np.ndarray, np.ndarray, list], pd.DataFrame], asks: tuple, schema) -> DataFrame:
+def answered(staged_blocks: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, np.ndarray, np.ndarray, Iterable], pa.Table], asks: tuple, schema) -> DataFrame:
     """Rows that finish makes of each block: its columns, word counts, positions and answers.
 
     answers: (block, bucket, blob), for each bucket that the block has asked, in its words' order;
     finish gets the numbers of those words and the blob's parts.
     """
 
-    def run(block_rows: pd.DataFrame, answer_rows: pd.DataFrame) -> pd.DataFrame:
+    def run(block_rows: pa.Table, answer_rows: pa.Table) -> pa.Table:
         out = []
-        for blob in block_rows["texts"]:
-            head, count, bounds, of, rank = unpack(blob, None, np.int64, np.int64, None, None)
+        for blob in block_rows.column("texts"):
+            head, count, bounds, of, rank = unpack(blob.as_py(), None, np.int64, np.int64, None, None)
             code = bounds[from_planes(of, 2)] + from_planes(rank, 3)
-            got = [(slice(int(bounds[k]), int(bounds[k + 1])), *unpack(x, *asks)) for k, x in zip(answer_rows["bucket"].tolist(), answer_rows["blob"], strict=True)]
+            got = ((slice(int(bounds[k]), int(bounds[k + 1])), *unpack(x.as_py(), *asks)) for k, x in zip(answer_rows.column("bucket").to_pylist(), answer_rows.column("blob"), strict=True))
             out.append(finish(from_ipc(head), count, code, got))
-        return pd.concat(out) if len(out) > 1 else out[0]
+        return pa.concat_tables(out)
 
-    return staged_blocks.select("block", "texts").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
+    return staged_blocks.select("block", "texts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
 def by_bucket(asks: DataFrame, answer: Callable, schema: str) -> DataFrame:

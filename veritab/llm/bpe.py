@@ -127,7 +127,7 @@ def tokenized(docs: DataFrame, file: str | None = None, outputs: tuple[str, ...]
     answers = blocks.by_bucket(blocks.asked(staged), _encode_bucket(file), "block long, bucket int, blob binary")
     piece_table = docs.sparkSession.sparkContext.broadcast(pieces(file))  # a row for each id of the vocabulary file
 
-    def finish(rows: pa.Table, count: np.ndarray, code: np.ndarray, got: list) -> pd.DataFrame:
+    def finish(rows: pa.Table, count: np.ndarray, code: np.ndarray, got) -> pa.Table:
         n = int(code.max()) + 1 if len(code) else 0
         ids_of, text_of, many = [b""] * n, [b""] * n, np.zeros(n, np.int64)
         piece = piece_table.value
@@ -139,17 +139,14 @@ def tokenized(docs: DataFrame, file: str | None = None, outputs: tuple[str, ...]
             for k, s, e in zip(range(place.start, place.stop), [0, *ends[:-1]], ends, strict=True):
                 ids_of[k] = raw[4 * s : 4 * e]
                 text_of[k] = listed[s] if e - s == 1 else b"".join(listed[s:e])
-        out = rows.to_pandas(types_mapper=lambda t: pd.ArrowDtype(t)) if rows.num_columns else pd.DataFrame(index=range(len(count)))
-        made = {o: [] for o in outputs}
-        at, places = 0, code.tolist()
+        made, at = {o: [] for o in outputs}, 0
         for size in count.tolist():
-            own = places[at : at + size]
-            if "n_tokens" in made:
-                made["n_tokens"].append(int(many[code[at : at + size]].sum()))
+            own = code[at : at + size].tolist()
+            at += size
             if "ids" in made or "ids_sha256" in made:
                 raw = b"".join([ids_of[k] for k in own])
                 if "ids" in made:
-                    made["ids"].append(np.frombuffer(raw, "<i4"))
+                    made["ids"].append(raw)
                 if "ids_sha256" in made:
                     made["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
             if "decoded" in made or "decoded_sha256" in made:
@@ -158,8 +155,17 @@ def tokenized(docs: DataFrame, file: str | None = None, outputs: tuple[str, ...]
                     made["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if "decoded" in made:
                     made["decoded"].append(decoded)
-            at += size
-        return out.assign(**made)
+        total = np.concatenate([[0], np.cumsum(many[code])])
+        bounds = total[np.concatenate([[0], np.cumsum(count)])]
+        for o in outputs:
+            if o == "n_tokens":
+                column = pa.array(np.diff(bounds), pa.int64())
+            elif o == "ids":
+                column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(made.pop("ids")), "<i4")))
+            else:
+                column = pa.array(made[o], pa.string())
+            rows = rows.append_column(o, column)
+        return rows
 
     return blocks.answered(staged, answers, finish, (None, None), schema)
 
