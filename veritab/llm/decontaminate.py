@@ -97,18 +97,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every row of docs (its text left out) with n_words, n_hit, items and contaminated."""
-    found = contamination(docs, benchmark, window).select(F.col("doc_id").alias("_d"), F.col("h").alias("_g"), F.col("n_hit").alias("_n"), F.col("items").alias("_i"))
+    found = contamination(docs, benchmark, window).select(F.col("doc_id").alias("_veritab_d"), F.col("h").alias("_veritab_g"), F.col("n_hit").alias("_veritab_n"), F.col("items").alias("_veritab_i"))
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_words", "n_hit", "items", "contaminated")]
-    rows = docs.select(*keep, F.xxhash64("text").alias("_h"), F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), RAW_GAP), "")).cast("long").alias("n_words"))
-    out = rows.join(found, rows.doc_id.eqNullSafe(found._d) & (rows._h == found._g), "left")
-    return out.select(*keep, "n_words", F.coalesce("_n", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("_i", F.array().cast("array<string>")).alias("items"), F.col("_n").isNotNull().alias("contaminated"))
+    rows = docs.select(*keep, F.xxhash64("text").alias("_veritab_h"), F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), RAW_GAP), "")).cast("long").alias("n_words"))
+    out = rows.join(found, rows.doc_id.eqNullSafe(found._veritab_d) & (rows._veritab_h == found._veritab_g), "left")
+    return out.select(*keep, "n_words", F.coalesce("_veritab_n", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("_veritab_i", F.array().cast("array<string>")).alias("items"), F.col("_veritab_n").isNotNull().alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs that hold no window of the benchmark, with docs' columns."""
-    found = contamination(docs, benchmark, window).select(F.col("doc_id").alias("_d"), F.col("h").alias("_g"))
+    found = contamination(docs, benchmark, window).select(F.col("doc_id").alias("_veritab_d"), F.col("h").alias("_veritab_g"))
     found, _ = _sized(checkpointed(found), F.lit(0))
-    return docs.join(found, docs.doc_id.eqNullSafe(found._d) & (F.xxhash64(docs.text) == found._g), "left_anti")
+    return docs.join(found, docs.doc_id.eqNullSafe(found._veritab_d) & (F.xxhash64(docs.text) == found._veritab_g), "left_anti")
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

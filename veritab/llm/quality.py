@@ -212,7 +212,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> dict:
 
     rows = learning_rows(docs, labels, "quality", most)
     out = rows.coalesce(1).mapInArrow(fitted, "mean array<double>, sd array<double>, w array<double>, move array<double>, a double, b double")
-    return out.collect()[0].asDict()
+    got = out.collect()
+    return got[0].asDict() if got else next(fitted([])).to_pylist()[0]  # an empty table may have no task
 
 
 def scored(docs: DataFrame, model: dict, text: str = "text", score: str = "score") -> DataFrame:

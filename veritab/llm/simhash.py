@@ -238,15 +238,16 @@ def deduplicated(docs: DataFrame, most: int = DISTANCE, meet: int = MEET) -> Dat
     rows = labelled(prints, most, meet).groupBy("root", "doc_id", "h").agg(F.count("*").alias("n"))
     rows = checkpointed(rows)
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first"))
-    judged = rows.join(first, "root").select("doc_id", "h", "n", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))).alias("stays"))
+    first = first.select(F.col("first.doc_id").alias("_fd"), F.col("first.h").alias("_fh"))  # met by row, not by root: a root may have most rows
+    judged = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_fd")) & (F.col("h") == F.col("_fh")), "left").select("doc_id", "h", "n", F.col("_fh").isNotNull().alias("_veritab_stays"))
     # What goes, and what stays once of several equal rows; broadcast only if few.
-    special = checkpointed(judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "stays"))
+    special = checkpointed(judged.where("NOT _veritab_stays OR n > 1").select(F.col("doc_id").alias("_veritab_d"), F.col("h").alias("_veritab_h"), "_veritab_stays"))
     side = F.broadcast(special) if special.count() <= BROADCAST_ROWS else special
-    met = docs.join(side, docs.doc_id.eqNullSafe(side["_d"]) & (h == side["_h"]), "left")
-    once = met.where("_h IS NULL").select(*docs.columns)
-    if not special.where("stays").take(1):
+    met = docs.join(side, docs.doc_id.eqNullSafe(side["_veritab_d"]) & (h == side["_veritab_h"]), "left")
+    once = met.where("_veritab_h IS NULL").select(*docs.columns)
+    if not special.where("_veritab_stays").take(1):
         return once
-    return once.union(met.where("stays").dropDuplicates(["_d", "_h"]).select(*docs.columns))
+    return once.union(met.where("_veritab_stays").dropDuplicates(["_veritab_d", "_veritab_h"]).select(*docs.columns))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -105,7 +105,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[flo
         bias, at, w = fit([xs[k] for k in order], np.array([ys[k] for k in order]))
         yield pa.RecordBatch.from_pydict({"bias": [bias], "at": [at], "w": [w]})
 
-    model = rows.coalesce(1).mapInArrow(fitted, "bias double, at array<long>, w array<double>").collect()[0]
+    model = rows.coalesce(1).mapInArrow(fitted, "bias double, at array<long>, w array<double>").collect()
+    model = model[0] if model else next(fitted([])).to_pylist()[0]  # an empty table may have no task
     return model["bias"], np.array(model["at"], dtype=np.int64), np.array(model["w"], dtype=np.float64)
 
 
