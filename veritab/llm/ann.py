@@ -91,7 +91,9 @@ def neighbour_graph(c: np.ndarray, most: int = NEIGHBOURS) -> np.ndarray:
     d = _square(c, c)
     np.fill_diagonal(d, np.inf)
     near = np.argpartition(d, m - 1, 1)[:, :m]
-    return np.concatenate([near, ((np.arange(k) + 1) % k)[:, None], ((np.arange(k) - 1) % k)[:, None]], 1)
+    out = np.sort(np.concatenate([near, ((np.arange(k) + 1) % k)[:, None], ((np.arange(k) - 1) % k)[:, None]], 1), 1)
+    again = np.concatenate([np.zeros((k, 1), dtype=bool), out[:, 1:] == out[:, :-1]], 1)
+    return np.where(again, np.arange(k)[:, None], out)  # a neighbour counts once; a centroid itself is already seen
 
 
 def graph_search(q: np.ndarray, c: np.ndarray, graph: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +177,7 @@ def fitted(vectors: DataFrame, scale: float, longest: float, n: int) -> dict:
         yield pa.RecordBatch.from_pydict({"c": [c.ravel().astype(np.float64)], "graph": [graph.ravel()], "k": [len(c)], "ratio": [ratio], "least": [least], "width": [width], "ids": [ids[one]], "rows": [raw[one].ravel()]})
 
     got = sample.coalesce(1).mapInArrow(run, "c array<double>, graph array<long>, k long, ratio double, least double, width long, ids array<long>, rows array<double>").collect()[0]
-    return {"c": np.array(got["c"], np.float32).reshape(got["k"], -1), "graph": np.array(got["graph"], np.int64).reshape(got["k"], -1), "ratio": got["ratio"], "least": got["least"], "width": got["width"], "ids": np.array(got["ids"]), "rows": np.array(got["rows"]).reshape(len(got["ids"]), -1), "scale": scale, "longest": longest}
+    return {"c": np.array(got["c"], np.float32).reshape(got["k"], -1), "graph": np.array(got["graph"], np.int64).reshape(got["k"], -1), "ratio": got["ratio"], "least": got["least"], "width": got["width"], "ids": np.array(got["ids"]), "rows": np.array(got["rows"], np.float64).reshape(len(got["ids"]), len(got["c"]) // got["k"] - 1), "scale": scale, "longest": longest}
 
 
 def _best(queries: pd.DataFrame, vecs: pd.DataFrame, top: int) -> pd.DataFrame:
