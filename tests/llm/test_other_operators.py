@@ -27,7 +27,7 @@ def test_neighbours(spark):
     r = np.random.default_rng(1)
     good = [(i, r.normal(size=8).round(3).tolist()) for i in range(300)] + [(i, [1.0] * 8) for i in range(300, 340)]
     bad = [(500, None), (520, [0.0] * 8), (540, [1.0, float("nan")] + [0.0] * 6), (560, [1.0, None] + [0.0] * 6), (580, [1.0] * 3), (600, []), (620, [float("inf")] + [0.0] * 7), (None, [2.0] * 8)]
-    again = [(20, good[20][1]), (301, [1.0] * 8)]
+    again = [(20, good[20][1]), (301, [1.0] * 8)] + [(41, good[41][1])] * 50
     df = spark.createDataFrame([(i, v, 1, 2.0) for i, v in good + bad + again], "vec_id long, embedding array<double>, rank int, score double").repartition(5)
     got = {}
     for x in ann.neighbours(df, F.col("vec_id") % 20 == 0).collect():

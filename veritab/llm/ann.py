@@ -181,24 +181,27 @@ def fitted(vectors: DataFrame, scale: float, longest: float, n: int) -> dict:
 
 
 def _best(queries: pd.DataFrame, vecs: pd.DataFrame, top: int) -> pd.DataFrame:
-    """A part's best top of each query (twice as many, as a vector may be there more than once)."""
+    """A part's best top of each query; rows of one vec_id, which are all in one part of a list, count as their best."""
     if not len(queries) or not len(vecs):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
     q, v = np.stack(queries["x"].to_numpy()), np.stack(vecs["x"].to_numpy())
     qi, vi, floor = queries["query_id"].to_numpy(), vecs["vec_id"].to_numpy(), queries["floor"].to_numpy()
+    by_id = np.argsort(vi, kind="stable")
+    v, vi = v[by_id], vi[by_id]
+    heads = np.flatnonzero(np.concatenate([[True], vi[1:] != vi[:-1]]))
     out = []
     for i in range(0, len(q), 128):
         rough = np.where(qi[i : i + 128, None] == vi, -np.inf, q[i : i + 128] @ v.T)
         least = floor[i : i + 128]
-        if v.shape[0] > top + 1:
-            least = np.maximum(least, np.partition(rough, -top, 1)[:, -top])
+        if len(heads) > top + 1:
+            least = np.maximum(least, np.partition(np.maximum.reduceat(rough, heads, axis=1), -top, 1)[:, -top])
         slack = 1e-9 * (np.abs(least) + np.sqrt((q[i : i + 128] ** 2).sum(1)) * np.sqrt((v**2).sum(1).max()))
         a, b = np.nonzero((rough >= np.where(np.isfinite(least), least - slack, -np.inf)[:, None]) & (rough > -np.inf))
         score = (q[i + a] * v[b]).sum(1)  # one order of additions for all: equal vectors tie
         order = np.lexsort((vi[b], -score, a))
         a, b, score = a[order], b[order], score[order]
-        rank = np.arange(len(a)) - np.searchsorted(a, a)
-        out.append(pd.DataFrame({"query_id": qi[i + a], "vec_id": vi[b], "score": score})[rank < 2 * top])
+        found = pd.DataFrame({"query_id": qi[i + a], "vec_id": vi[b], "score": score}).drop_duplicates(["query_id", "vec_id"])
+        out.append(found[found.groupby("query_id").cumcount() < top])
     return pd.concat(out)
 
 
@@ -261,7 +264,7 @@ def neighbours(vectors: DataFrame, is_query, vec: str = "embedding", top: int =
         ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
         return checkpointed(ranked.where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
-    queries = rows.where(is_query).dropDuplicates(["vec_id"])
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("x").alias("x"))
     out = search(queries, False)
     # Queries whose lists held fewer than they should get are searched again, in all lists.
     most = min(top, rows.select("vec_id").distinct().count() - 1)
