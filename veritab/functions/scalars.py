@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veritab.functions.matches import let
 from veritab.model import chosen
 
 #: White space as the extraction patterns mean it: with the no-break space.
@@ -55,18 +56,26 @@ def tidy(c: Column) -> Column:
 
 def to_number(c: Column) -> Column:
     """A number in digits (with commas) or in English words below one hundred; else null."""
-    t = F.regexp_replace(F.lower(F.trim(c)), ",", "")
     small = F.create_map(*[F.lit(x) for i, w in enumerate(SMALL_WORDS) for x in (w, float(i))])
     tens = F.create_map(*[F.lit(x) for w, n in TENS.items() for x in (w, float(n))])
-    parts = F.split(t, "[- ]", -1)
-    pair = F.when(F.size(parts) == 2, F.try_element_at(tens, F.get(parts, F.lit(0))) + F.try_element_at(small, F.get(parts, F.lit(1))))
-    return F.coalesce(F.when(t.rlike(r"^-?\d+(\.\d+)?$"), t.try_cast("double")), F.try_element_at(small, t), F.try_element_at(tens, t), pair)
+
+    def read(v: Column) -> Column:
+        t, parts = v["t"], F.split(v["t"], "[- ]", -1)
+        pair = F.when(F.size(parts) == 2, F.try_element_at(tens, F.get(parts, F.lit(0))) + F.try_element_at(small, F.get(parts, F.lit(1))))
+        return F.coalesce(F.when(t.rlike(r"^-?\d+(\.\d+)?$"), t.try_cast("double")), F.try_element_at(small, t), F.try_element_at(tens, t), pair)
+
+    return let({"t": F.regexp_replace(F.lower(F.trim(c)), ",", "")}, read)
 
 
 def number_text(x: Column) -> Column:
     """The shortest usual text of a double: integers without a point, no exponent for small ones."""
-    plain = F.regexp_replace(F.format_string("%.12f", x), r"0+$", "")
-    return F.when((x == F.floor(x)) & (F.abs(x) < 1e15), F.floor(x).cast("string")).when(F.abs(x) < 1e-3, plain).otherwise(x.cast("string"))
+
+    def shown(v: Column) -> Column:
+        x = v["x"]
+        plain = F.regexp_replace(F.format_string("%.12f", x), r"0+$", "")
+        return F.when((x == F.floor(x)) & (F.abs(x) < 1e15), F.floor(x).cast("string")).when(F.abs(x) < 1e-3, plain).otherwise(x.cast("string"))
+
+    return let({"x": x}, shown)
 
 
 def number_or(c: Column) -> Column:

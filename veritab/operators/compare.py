@@ -164,15 +164,11 @@ def arithmetic_evidence(checks: DataFrame) -> DataFrame:
                     description=F.concat("expression", F.lit(" gives "), "expected", F.lit("; stated is "), "stated", F.lit(" (checked to "), "tolerance", F.lit(").")))
 
 
-def all_evidence(facts: DataFrame, checks: DataFrame, documents: DataFrame, include_practice: bool = True) -> DataFrame:
+def all_evidence(facts: DataFrame, checks: DataFrame, documents: DataFrame, include_practice: bool = True) -> list[DataFrame]:
     """The evidence of every check. Page names, assessments and facts with an expected value go their own ways."""
     routed = facts.where("conceptKey <> 'crf_page.reference'").withColumn("_exp", F.max(F.map_contains_key(F.coalesce("attributes", F.create_map().cast("map<string,string>")), "expected").cast("int")).over(Window.partitionBy("conceptKey")))
     plain = routed.where((F.col("_exp") == 0) & ~F.col("conceptKey").startswith("assessment.") & (F.lit(include_practice) | ~F.col("conceptKey").startswith("practice."))).drop("_exp")
-    parts = [value_evidence(plain), expected_evidence(routed.where("_exp = 1").drop("_exp")), page_evidence(facts), coverage_evidence(facts, documents), pair_evidence(facts), policy_evidence(facts), verdict_evidence(facts), arithmetic_evidence(checks)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return [value_evidence(plain), expected_evidence(routed.where("_exp = 1").drop("_exp")), page_evidence(facts), coverage_evidence(facts, documents), pair_evidence(facts), policy_evidence(facts), verdict_evidence(facts), arithmetic_evidence(checks)]
 
 
 def findings_of(rows: DataFrame) -> DataFrame:

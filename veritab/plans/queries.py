@@ -344,3 +344,151 @@ def concepts_compared(spark, sf):
     from veritab.operators.compare import concepts_compared as count
 
     return count(t(spark, sf, "lineitem").select(F.col("l_partkey").alias("conceptKey")), t(spark, sf, "region"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(lower(url), 'sap') THEN 'SAP' WHEN regexp_matches(lower(url), 'csr') THEN 'CSR' WHEN regexp_matches(lower(url), 'crf') THEN 'CRF' WHEN regexp_matches(lower(url), 'brochure|ib') THEN 'IB' ELSE 'PROTOCOL' END AS type FROM pages")
+def document_types(spark, sf):
+    from veritab.sources.readers import document_type
+
+    return t(spark, sf, "pages").select("page_id", document_type(F.col("url")).alias("type"))
+
+
+@query("""SELECT item_id, regexp_replace(replace(replace(replace(replace(translate(text, '‘’“”–—−', '''''""---'), '≥', '>='), '≤', '<='), '…', '...'), '•', '-'), '[^\\x{00}-\\x{FF}]', '?', 'g') AS text FROM benchmark""")
+def glyphs(spark, sf):
+    from veritab.sources.fixtures import sanitized
+
+    return t(spark, sf, "benchmark").select("item_id", sanitized(F.col("text")).alias("text"))
+
+
+@query("""SELECT doc_id, count(*) FILTER (regexp_matches(line, '^[0-9]+(?:\\.[0-9]+)*\\.?[ \\t]+[^ \\t]')) AS numbered, count(*) FILTER (regexp_matches(line, '^[^a-z]*[A-Z][^a-z]*$')) AS capitals
+FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE length(line) BETWEEN 3 AND 120 GROUP BY doc_id""")
+def heading_lines(spark, sf):
+    lines = t(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).select("doc_id", F.trim("line").alias("line")).where(F.length("line").between(3, 120))
+    return lines.groupBy("doc_id").agg(F.count_if(F.col("line").rlike(r"^[0-9]+(?:\.[0-9]+)*\.?[ \t]+[^ \t]")).alias("numbered"), F.count_if(F.col("line").rlike("^[^a-z]*[A-Z][^a-z]*$")).alias("capitals"))
+
+
+@query("SELECT CAST(floor(value / 6e0 + 5e-1) AS BIGINT) AS band, count(*) AS n FROM events GROUP BY 1")
+def repetition_band(spark, sf):
+    return t(spark, sf, "events").groupBy(ingest.band(F.col("value")).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS page FROM events)
+SELECT user_id, page, CASE WHEN event_id % 3 = 0 THEN page - 2 WHEN page - 2 >= 1 THEN page - 2 END AS printed FROM f WHERE event_id % 3 <> 0 OR page > 2""")
+def printed_pages(spark, sf):
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = t(spark, sf, "events").select("user_id", "event_id", n.alias("page")).where("event_id % 3 <> 0 OR page > 2").select(F.col("user_id").cast("string").alias("documentId"), F.col("page").alias("pdfPage"), "event_id")
+    said = rows.where("event_id % 3 = 0").select("documentId", "pdfPage", (F.col("pdfPage") - 2).alias("printed"))
+    documents = rows.select("documentId", F.lit(2).alias("pageOffset")).distinct()
+    out = ingest.printed_pages(rows, said, documents)
+    return out.select(F.col("documentId").cast("long").alias("user_id"), F.col("pdfPage").cast("long").alias("page"), F.col("printedPage").cast("long").alias("printed"))
+
+
+@query("""WITH g AS (SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY value, event_id) AS gap FROM events)
+SELECT user_id, 128e-2 * min(gap) FILTER (gap > 1) AS threshold FROM g GROUP BY 1 HAVING min(gap) FILTER (gap > 1) IS NOT NULL""")
+def paragraph_threshold(spark, sf):
+    gap = F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("value", "event_id"))
+    return t(spark, sf, "events").select("user_id", gap.alias("gap")).groupBy("user_id").agg((ingest.PARAGRAPH * F.min(F.when(F.col("gap") > 1, F.col("gap")))).alias("threshold")).where("threshold IS NOT NULL")
+
+
+@query("""WITH s AS (SELECT user_id, event_type, value, event_id, coalesce(value - lag(value) OVER w > 2, false) AS apart, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value, event_id))
+SELECT user_id, string_agg(CASE WHEN apart THEN ' ' || event_type ELSE event_type END, '' ORDER BY k) AS text FROM s GROUP BY 1""")
+def gap_spacing(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("value", "event_id")
+    rows = t(spark, sf, "events").select("user_id", F.row_number().over(w).alias("k"), F.concat(F.when(F.col("value") - F.lag("value").over(w) > 2, " ").otherwise(""), "event_type").alias("t"))
+    return rows.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), "").alias("text"))
+
+
+@query("""WITH i AS (SELECT DISTINCT l_suppkey, l_returnflag AS name FROM lineitem WHERE l_linenumber = 1), c AS (SELECT DISTINCT l_suppkey, l_returnflag AS name FROM lineitem WHERE l_linenumber = 7),
+x AS (SELECT * FROM i EXCEPT SELECT * FROM c) SELECT s.s_suppkey, CASE WHEN count(x.name) > 1 THEN count(x.name) || ' UNRELATED INPUTS — ' || string_agg(x.name, ', ' ORDER BY x.name) ELSE 'SINGLE INPUT' END AS value FROM supplier s LEFT JOIN x ON s.s_suppkey = x.l_suppkey GROUP BY 1""")
+def dataset_flow(spark, sf):
+    names = lambda k: F.collect_set(F.when(F.col("l_linenumber") == k, F.col("l_returnflag")))
+    flow = t(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.array_except(names(1), names(7))).alias("x"))
+    every = t(spark, sf, "supplier").select("s_suppkey").join(flow, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    return every.select("s_suppkey", F.when(F.size("x") > 1, F.concat(F.size("x").cast("string"), F.lit(" UNRELATED INPUTS — "), F.array_join("x", ", "))).otherwise("SINGLE INPUT").alias("value"))
+
+
+@query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(text, '[ \\n]+')) AS w FROM documents) WHERE regexp_full_match(w, '-?[0-9]+(\\.[0-9]+)?') GROUP BY 1")
+def stray_literals(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "[ \n]+", -1)).alias("w")).where(F.col("w").rlike(r"^-?[0-9]+(\.[0-9]+)?$")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT item_id, unnest(string_split(text, '.')) AS s FROM benchmark), a(key, p) AS (VALUES ('lvef', 'tion'), ('ecg', 'the')), m(tp, q) AS (VALUES ('c1d1', 'in'), ('eot', 'er'))
+SELECT item_id, 'assessment.' || key || '.' || tp AS "conceptKey", count(*) AS n FROM s, a, m WHERE contains(s, p) AND contains(s, q) GROUP BY ALL""")
+def assessment_timepoints(spark, sf):
+    sentences = t(spark, sf, "benchmark").select("item_id", F.explode(F.split("text", r"\.", -1)).alias("s"))
+    pairs = F.flatten(F.array(*[F.when(F.col("s").contains(p) & F.col("s").contains(q), F.array(F.lit(f"assessment.{key}.{at}"))).otherwise(F.array().cast("array<string>")) for key, p in (("lvef", "tion"), ("ecg", "the")) for at, q in (("c1d1", "in"), ("eot", "er"))]))
+    return sentences.select("item_id", F.explode(pairs).alias("conceptKey")).groupBy("item_id", "conceptKey").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, 'GTE ' || p_size || ' days' AS threshold, p_size || '% CI (two-sided)' AS level, '[-' || p_size || ', ' || p_size || ']' AS "interval", '+/-' || p_size || ' days' AS tolerance, 'c' || p_size || 'd1' AS timepoint, 'Q' || p_size || 'D' AS frequency,
+'alpha ' || CASE WHEN p_size % 100 = 0 THEN CAST(p_size // 100 AS VARCHAR) ELSE CAST(p_size / 1e2 AS VARCHAR) END || ' (one-sided)' AS alpha FROM part""")
+def normalized_values(spark, sf):
+    n = F.col("p_size").cast("string")
+    return t(spark, sf, "part").select(
+        "p_partkey", S.threshold(F.lit("at least"), n, F.lit("Day")).alias("threshold"), S.ci_level(n, F.lit("two")).alias("level"), S.interval(F.concat(F.lit("-"), n), n).alias("interval"), S.tolerance(n, F.lit("d")).alias("tolerance"),
+        S.timepoint(F.concat(F.lit("Cycle "), n, F.lit(" Day 1"))).alias("timepoint"), S.frequency(F.concat(F.lit("every "), n, F.lit(" days"))).alias("frequency"), S.alpha(n, F.lit("One"), percent=True).alias("alpha"))
+
+
+@query("SELECT p_type, count(DISTINCT regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g')) = 1 AS case_only FROM part GROUP BY 1")
+def case_only(spark, sf):
+    return t(spark, sf, "part").groupBy("p_type").agg(F.collect_set("p_brand").alias("v")).select("p_type", S.only_case_or_punctuation(F.col("v")).alias("case_only"))
+
+
+@query("""WITH v AS (SELECT l_suppkey, l_returnflag, list_sort(list_distinct(list(l_linestatus))) AS types, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY ALL)
+SELECT l_suppkey, string_agg(array_to_string(types, ', ') || CASE WHEN len(types) = 1 THEN ' states ' ELSE ' state ' END || l_returnflag, '; ' ORDER BY first) || '.' AS description FROM v GROUP BY 1""")
+def variant_description(spark, sf):
+    v = t(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.array_sort(F.collect_set("l_linestatus")).alias("types"), F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first"))
+    said = F.concat(F.array_join("types", ", "), F.when(F.size("types") == 1, " states ").otherwise(" state "), "l_returnflag")
+    return v.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("first", said.alias("s")))).alias("l")).select("l_suppkey", F.concat(F.array_join(F.transform("l", lambda x: x["s"]), "; "), F.lit(".")).alias("description"))
+
+
+@query("SELECT count(*) AS findings, count(*) FILTER (o_orderstatus = 'F') AS critical, count(*) FILTER (o_orderstatus = 'O') AS major, count(*) FILTER (o_orderstatus = 'P') AS minor, (SELECT count(*) FROM part) AS checks, (SELECT count(*) FROM part WHERE p_size > 10) AS confirmed FROM orders")
+def run_summary(spark, sf):
+    severity = F.when(F.col("o_orderstatus") == "F", "CRITICAL").when(F.col("o_orderstatus") == "O", "MAJOR").otherwise("MINOR")
+    checks = t(spark, sf, "part").select(F.when(F.col("p_size") > 10, "CONFIRMED").otherwise("FAILED").alias("outcome"))
+    return matrix.run_summary(t(spark, sf, "orders").select(severity.alias("severity")), checks)
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'error' AND value > 50 AND (user_id % 3) = 0")
+def findings_filter(spark, sf):
+    rows = t(spark, sf, "events").select("event_id", "user_id", F.col("event_type").alias("severity"), F.when(F.col("value") > 50, "HIGH").otherwise("LOW").alias("category"), F.array((F.col("user_id") % 3).cast("string")).alias("documentTypes"), F.lit(None).cast("struct<status:string>").alias("disposition"))
+    return review.filtered(rows, severity="error", category="HIGH", document="0", status="OPEN").select("event_id", "user_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, bool_or(l_discount >= 0.1) OVER (PARTITION BY l_orderkey) AS expected_route FROM lineitem WHERE l_quantity <> 7")
+def concept_routing(spark, sf):
+    w = Window.partitionBy("l_orderkey")
+    return t(spark, sf, "lineitem").where("l_quantity <> 7").select("l_orderkey", "l_linenumber", F.bool_or(F.col("l_discount") >= 0.1).over(w).alias("expected_route"))
+
+
+@query()
+def extraction_rules(spark, sf):
+    """All rules over whole documents, a paragraph each; the invented prose has few facts, so the count of rules' hits is mostly empty."""
+    from veritab.plans.run import RuleExtractor
+
+    docs = t(spark, sf, "documents").select(
+        F.col("source").alias("documentId"), F.lit("SAP").alias("documentType"), "source", F.lit("v1.0").alias("version"), F.lit("").alias("author"), F.lit("1").alias("sectionId"), F.lit("Text").alias("sectionHeading"), F.concat(F.lit("1-p"), F.col("doc_id").cast("string")).alias("paragraphId"),
+        F.lit(1).alias("printedPage"), F.lit(1).alias("pdfPage"), "text", F.split("text", "\n", -1).alias("lines"), F.lit("PROSE").alias("kind"), F.lit(0).alias("docSeq"), F.lit(1).alias("sectionSeq"), F.col("doc_id").cast("int").alias("paraSeq")).withColumnRenamed("source", "documentTitle")
+    return RuleExtractor().extract(docs, *_no_context(spark)).groupBy("extractorRule", "conceptKey").agg(F.count("*").alias("n"))
+
+
+def _no_context(spark):
+    from veritab.model import ABBREVIATIONS, SECTIONS
+
+    return spark.createDataFrame([], SECTIONS), spark.createDataFrame([], ABBREVIATIONS)
+
+
+@query()
+def full_run(spark, sf):
+    """Generated pages of two documents, from positioned items to findings (independent of the tables)."""
+    from veritab.model import DESCRIPTORS, ITEMS
+    from veritab.plans.run import run_pipeline
+    from veritab.sources.fixtures import Block, item_rows
+    from veritab.sources.readers import with_order
+
+    plan = [Block("heading", "1 Design"), Block("para", "A total of 620 subjects will be randomised. Visits may shift ±3 days."), Block("para", "Follow-up ends 30 days after the last dose."), Block("heading", "2 Programs"), Block("code", rows=("proc means data=adsl;", "set advs;", "run;"))]
+    report = [Block("heading", "1 Results"), Block("para", "A total of 655 subjects were randomised. Follow-up ended 28 days after the last dose."), Block("para", "See APPENDIX 1 for details.")]
+    rows = item_rows("PLAN", plan, "Plan header") + item_rows("REPORT", report, "Report header", leaves=2)
+    descriptors = with_order(spark.createDataFrame([("PLAN", "SAP", "plan.pdf", "Plan", "v1.0", "", ""), ("REPORT", "CSR", "report.pdf", "Report", "v1.0", "", "")], DESCRIPTORS))
+    found = run_pipeline(spark.createDataFrame(rows, ITEMS), descriptors).findings
+    return found.select("id", "conceptKey", "severity", "confidence", "scope", "title")

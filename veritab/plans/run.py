@@ -59,17 +59,18 @@ class Result:
 
 
 def analyse(paragraphs: DataFrame, sections: DataFrame | None = None, abbreviations: DataFrame | None = None, documents: DataFrame | None = None, extractor: Extractor | None = None, include_practice: bool = True, on_stage: Callable[[str, str], None] | None = None, timestamp: str = "") -> Result:
-    """Facts, recomputations and findings of indexed paragraphs. Facts are computed once and kept."""
+    """Facts, recomputations and findings of indexed paragraphs. Each step is a table in the shared folder: computed once, and planned alone."""
     spark: SparkSession = paragraphs.sparkSession
     say = on_stage or (lambda _stage, _detail: None)
     sections = spark.createDataFrame([], SECTIONS) if sections is None else sections
     abbreviations = spark.createDataFrame([], ABBREVIATIONS) if abbreviations is None else abbreviations
     documents = paragraphs.select("documentId", "documentType").distinct() if documents is None else documents
-    entities = (extractor or RuleExtractor()).extract(paragraphs, sections, abbreviations).persist()
+    entities = stored([(extractor or RuleExtractor()).extract(paragraphs, sections, abbreviations)], "facts")
     say("extract", f"{entities.count()} facts")
-    checks = arithmetic.checks_of(entities, paragraphs).persist()
+    checks = stored([arithmetic.checks_of(entities, paragraphs)], "checks")
     say("recompute", f"{checks.count()} recomputations")
-    findings = compare.findings_of(compare.all_evidence(entities, checks, documents, include_practice)).persist()
+    evidence = stored(compare.all_evidence(entities, checks, documents, include_practice), "evidence")
+    findings = stored([compare.findings_of(evidence)], "findings")
     say("compare", f"{findings.count()} findings")
     return Result(documents, paragraphs, sections, abbreviations, entities, checks, findings, timestamp=timestamp)
 
@@ -78,6 +79,25 @@ def run_pipeline(items: DataFrame, descriptors: DataFrame, pages: DataFrame | No
     """From positioned items to findings. options as for analyse()."""
     say = options.get("on_stage") or (lambda _stage, _detail: None)
     tables = ingest.ingest(items, descriptors, pages)
-    paragraphs = tables["paragraphs"].persist()
-    say("ingest", f"{paragraphs.count()} paragraphs")
-    return analyse(paragraphs, tables["sections"], tables["abbreviations"], tables["documents"], **options)
+    kept = {name: stored([tables[name]], name) for name in ("paragraphs", "sections", "abbreviations", "documents")}
+    say("ingest", f"{kept['paragraphs'].count()} paragraphs")
+    return analyse(**kept, **options)
+
+
+class Runner:
+    """One run at a time: IDLE, RUNNING, then READY with a result or FAILED with an error."""
+
+    def __init__(self):
+        self.state, self.result, self.error = "IDLE", None, None
+
+    def run(self, *args, **options) -> Result | None:
+        if self.state == "RUNNING":
+            return None
+        self.state, self.result, self.error = "RUNNING", None, None
+        try:
+            self.result = run_pipeline(*args, **options)
+            self.state = "READY"
+        except Exception as e:
+            self.state, self.error = "FAILED", e
+            raise
+        return self.result
