@@ -33,7 +33,6 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Texts with characters from here on are split by the tokenizer's own splitter: what is a letter
 #: there may depend on the Unicode version.
 _SETTLED = "ɐ"
-#: Above this many characters, a text that the tokenizer's own splitter takes is cut at line ends first.
 OUTPUTS = ("n_tokens", "ids", "ids_sha256", "decoded_sha256", "decoded")
 
 

@@ -13,7 +13,6 @@ called like one of the outputs is replaced by the output.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
