@@ -23,7 +23,7 @@ from .common import bounded_batches, fold
 
 BITS = 22
 #: Labelled rows that the classifier is fitted on, at most; those with the smallest hashes are taken.
-FIT_ROWS = 8000
+FIT_ROWS = 16_000
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 1.0
 THRESHOLD = 0.5
