@@ -435,11 +435,11 @@ def case_only(spark, sf):
 
 
 @query("""WITH v AS (SELECT l_suppkey, l_returnflag, list_sort(list_distinct(list(l_linestatus))) AS types, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY ALL)
-SELECT l_suppkey, string_agg(array_to_string(types, ', ') || CASE WHEN len(types) = 1 THEN ' states ' ELSE ' state ' END || l_returnflag, '; ' ORDER BY first) || '.' AS description FROM v GROUP BY 1""")
+SELECT l_suppkey, string_agg(array_to_string(types, ', ') || CASE WHEN len(types) = 1 THEN ' states ' ELSE ' state ' END || l_returnflag, '; ' ORDER BY first, l_returnflag) || '.' AS description FROM v GROUP BY 1""")
 def variant_description(spark, sf):
     v = t(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.array_sort(F.collect_set("l_linestatus")).alias("types"), F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first"))
     said = F.concat(F.array_join("types", ", "), F.when(F.size("types") == 1, " states ").otherwise(" state "), "l_returnflag")
-    return v.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("first", said.alias("s")))).alias("l")).select("l_suppkey", F.concat(F.array_join(F.transform("l", lambda x: x["s"]), "; "), F.lit(".")).alias("description"))
+    return v.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("first", "l_returnflag", said.alias("s")))).alias("l")).select("l_suppkey", F.concat(F.array_join(F.transform("l", lambda x: x["s"]), "; "), F.lit(".")).alias("description"))
 
 
 @query("SELECT count(*) AS findings, count(*) FILTER (o_orderstatus = 'F') AS critical, count(*) FILTER (o_orderstatus = 'O') AS major, count(*) FILTER (o_orderstatus = 'P') AS minor, (SELECT count(*) FROM part) AS checks, (SELECT count(*) FROM part WHERE p_size > 10) AS confirmed FROM orders")
