@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, written
+from .common import checkpointed, importable, table, written
 
 TOP = 20
 #: Rows that centroids and the ratio are fitted on, at most; rows kept for lower bounds; centroids, at most.
@@ -209,6 +209,7 @@ def neighbours(vectors: DataFrame, is_query, vec: str = "embedding", top: int =
     """query_id, rank, vec_id, score: the top nearest found of each row of vectors that is_query picks."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    importable(spark)
     rows = written(usable(vectors, vec), "ann-vectors")
     scale = rows.agg(F.max(F.array_max(F.transform("x", F.abs)))).first()[0]
     if scale is None:

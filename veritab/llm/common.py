@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -16,12 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers that see this folder import the package, wherever the driver was started.
+
+    On a cluster whose executors do not see it, the package goes along with --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir as the session has it.
 
     Only where it is unset (tests, local runs) a folder is made: a temporary one in local
     mode, one below the warehouse elsewhere.
     """
+    importable(spark)
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
@@ -48,6 +61,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Hands texts to Python workers in batches of at most BATCH_ROWS rows."""
+    importable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
