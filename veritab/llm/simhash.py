@@ -236,7 +236,12 @@ def deduplicated(docs: DataFrame, most: int = DISTANCE, meet: int = MEET) -> Dat
     h = F.xxhash64("text")
     prints = written(fingerprints(docs.select("doc_id", h.alias("h"), "text")), "simhash-prints")
     rows = labelled(prints, most, meet).groupBy("root", "doc_id", "h").agg(F.count("*").alias("n"))
-    rows = checkpointed(rows)
+    return first_of_each(docs, checkpointed(rows))
+
+
+def first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs with one row of each root of rows (root, doc_id, h: the hash of its text, n: how many)."""
+    h = F.xxhash64("text")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first"))
     first = first.select(F.col("first.doc_id").alias("_fd"), F.col("first.h").alias("_fh"))  # met by row, not by root: a root may have most rows
     judged = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_fd")) & (F.col("h") == F.col("_fh")), "left").select("doc_id", "h", "n", F.col("_fh").isNotNull().alias("_veritab_stays"))
