@@ -82,6 +82,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, fol
     """(text, y) of at most most labelled documents outside the held-out fold, by smallest hash."""
     bounded_batches(docs.sparkSession)
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
+    own = own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")  # labels of other documents take no places
     own = own.where(fold(F.col("doc_id"), folds) != 0).withColumn("_h", F.xxhash64(F.lit("fit"), F.col("doc_id").cast("string")))
     chosen = own.orderBy("_h", "doc_id").limit(most)  # ids only; at most `most` of them, so a proven bound
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
