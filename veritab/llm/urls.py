@@ -3,7 +3,8 @@
 Trust starts from hosts with pages that a rule allows and follows links (personalised PageRank);
 distrust starts from hosts with pages that a rule blocks and follows links backwards. Both are in
 pages: a seed's weight is its number of such pages. A host whose distrust is over THRESHOLD of
-both together is blocked. All of it is DataFrame operations over host edges that are counted
+both together is blocked. Propagation goes on until the masses change by less than TOLERANCE (the
+SQL's ROUNDS steps suffice for small, shallow graphs only). All of it is DataFrame operations over host edges that are counted
 before they are shuffled; hosts, links and ranks stay distributed.
 
 Defined results. A null url, or one without "://", has an empty host and path, takes no part in
@@ -25,6 +26,10 @@ from .decontaminate import LOWER, UPPER
 #: (verdict, rule); a rule is a host and the start of a path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.5
+#: Propagation ends when trust and distrust change by less than this share of all seeds' mass.
+TOLERANCE = 1e-9
+#: Steps of propagation between checkpoints.
+EVERY = 2
 #: Hosts' verdicts are broadcast up to this many hosts.
 BROADCAST_ROWS = 100_000
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -63,8 +68,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", F.translate("to", UPPER, LOWER).alias("dst")).where("src <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def host_mass(judged: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) after rounds steps of propagation."""
+def host_mass(judged: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust) after rounds steps of propagation, or without rounds when it has converged."""
     seeds = judged.where("host <> '' AND verdict IS NOT NULL").groupBy("host").agg(F.count_if(F.col("verdict") == "allow").cast("double").alias("st"), F.count_if(F.col("verdict") == "block").cast("double").alias("sd"))
     edges = checkpointed(edges)
     start = seeds.select("host", (F.col("st") * (1 - damping)).alias("bt"), (F.col("sd") * (1 - damping)).alias("bd"))
@@ -78,18 +83,30 @@ def host_mass(judged: DataFrame, edges: DataFrame, damping: float = DAMPING, rou
     backward = edges.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), zero.alias("wt"), (F.col("n") / F.col("of")).alias("wd"))
     steps = checkpointed(forward.union(backward))
     mass = start.select("host", F.col("bt").alias("trust"), F.col("bd").alias("distrust"))
-    for k in range(rounds):
+    if rounds is None:
+        seeded, last = start.agg(F.sum(F.col("bt") + F.col("bd"))).first()[0] or 0.0, checkpointed(mass)
+    k = 0
+    while rounds is None or k < rounds:
         moved = mass.join(steps, mass.host == steps.src).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("trust") * F.col("wt"))).alias("mt"), (damping * F.sum(F.col("distrust") * F.col("wd"))).alias("md"))
         mass = start.join(moved, "host", "full").select("host", (F.coalesce("bt", zero) + F.coalesce("mt", zero)).alias("trust"), (F.coalesce("bd", zero) + F.coalesce("md", zero)).alias("distrust"))
-        if k % 2 or k == rounds - 1:
-            mass = checkpointed(mass)
+        k += 1
+        if k % EVERY and k != rounds:
+            continue
+        mass = checkpointed(mass)
+        if rounds is None:
+            was = last.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
+            both = mass.join(was, "host", "full")
+            change = both.agg(F.sum(F.abs(F.coalesce("trust", zero) - F.coalesce("t", zero)) + F.abs(F.coalesce("distrust", zero) - F.coalesce("d", zero)))).first()[0] or 0.0
+            if change <= tolerance * seeded:
+                break
+            last = mass
     return mass
 
 
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """pages without html, with host, path, rule and verdict."""
     judged = ruled(pages.drop("html"), rules)
-    mass = host_mass(judged, host_edges(pages))
+    mass = host_mass(judged, host_edges(pages), rounds=None)
     bad = checkpointed(mass.where(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))).select(F.col("host").alias("_bad")))
     side = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
     out = judged.join(side, judged.host == side["_bad"], "left")
