@@ -461,18 +461,7 @@ def concept_routing(spark, sf):
     return t(spark, sf, "lineitem").where("l_quantity <> 7").select("l_orderkey", "l_linenumber", F.bool_or(F.col("l_discount") >= 0.1).over(w).alias("expected_route"))
 
 
-@query()
-def extraction_rules(spark, sf):
-    """All rules over whole documents, a paragraph each; the invented prose has few facts, so the count of rules' hits is mostly empty."""
-    from veritab.plans.run import RuleExtractor
-
-    docs = t(spark, sf, "documents").select(
-        F.col("source").alias("documentId"), F.lit("SAP").alias("documentType"), "source", F.lit("v1.0").alias("version"), F.lit("").alias("author"), F.lit("1").alias("sectionId"), F.lit("Text").alias("sectionHeading"), F.concat(F.lit("1-p"), F.col("doc_id").cast("string")).alias("paragraphId"),
-        F.lit(1).alias("printedPage"), F.lit(1).alias("pdfPage"), "text", F.split("text", "\n", -1).alias("lines"), F.lit("PROSE").alias("kind"), F.lit(0).alias("docSeq"), F.lit(1).alias("sectionSeq"), F.col("doc_id").cast("int").alias("paraSeq")).withColumnRenamed("source", "documentTitle")
-    return RuleExtractor().extract(docs, *_no_context(spark)).groupBy("extractorRule", "conceptKey").agg(F.count("*").alias("n"))
-
-
-def _no_context(spark):
+def no_context(spark):
     from veritab.model import ABBREVIATIONS, SECTIONS
 
     return spark.createDataFrame([], SECTIONS), spark.createDataFrame([], ABBREVIATIONS)
