@@ -1,6 +1,7 @@
 """Operators on texts against brute force, with nulls, empties, repeats, long texts and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -165,11 +166,13 @@ def test_blocks_of_any_size(spark, monkeypatch):
 
     docs, rows = frame(spark, texts())
     whole = Counter((r.doc_id, r.ids_sha256) for r in bpe.tokenized(docs, outputs=("ids_sha256",)).collect())
+    assert Counter((r.doc_id, r.ids_sha256) for r in bpe.tokenized(docs, outputs=("ids_sha256",), buckets=70_000).collect()) == whole
     monkeypatch.setattr(blocks, "BLOCK_WORDS", 20)
     assert Counter((r.doc_id, r.ids_sha256) for r in bpe.tokenized(docs, outputs=("ids_sha256",)).collect()) == whole
 
 
 def test_language_model(spark):
+    """Counts and base scores by hand; scores by hand from the words' classes."""
     docs, rows = frame(spark, texts(120))
     cut = lambda t: re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(t or ""))
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
@@ -179,12 +182,58 @@ def test_language_model(spark):
             c.update([*cut(t), None])
     n, v = sum(c.values()), len(c)
     expected = {(d, t): (held(d), len(cut(t)) + 1, sum(c[w] > 0 for w in [*cut(t), None]), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*cut(t), None])) for d, t in rows}
-    got = lm.scored(docs.withColumn("copy", F.col("text"))).collect()
+    own, staged = lm.prepared(docs.withColumn("copy", F.col("text")))
+    classes = 6
+    model = lm.model_of(own, staged, 20, classes)
+    got = lm.scored_by(model, own, staged).collect()
+    vocabulary = {r.word: (r.n, r["class"]) for r in model.vocabulary().collect()}
+    assert {w: k for w, (k, _) in vocabulary.items()} == {w: k for w, k in c.items() if w is not None}
+    assert all(0 <= k < classes for _, k in vocabulary.values())
+    kind = lambda w: classes if w is None else vocabulary[w][1] if w in vocabulary else None
+    k = classes + 1
+    pairs, size, once = [[0] * k for _ in range(k)], [0] * k, [0] * k
+    for d, t in rows:
+        if not held(d):
+            for x, y in itertools.pairwise([None, *cut(t), None]):
+                pairs[kind(x)][kind(y)] += 1
+                size[kind(y)] += 1
+    for m, x in vocabulary.values():
+        once[x] += m == 1
+    share = [(x + 1) / (sum(size) + k) for x in size]
+    step = [[(pairs[x][y] + lm.ALPHA * share[y]) / (sum(pairs[x]) + lm.ALPHA) for y in range(k)] for x in range(k)]
+    rest = [(once[x] + 1) / (size[x] + 2) for x in range(classes)] + [0]
+    mass = [(size[x] + 1) * rest[x] for x in range(k)]
+
+    def score(t):
+        total, at = 0.0, [float(x == classes) for x in range(k)]
+        for w in [*cut(t), None]:
+            ahead = [sum(at[x] * step[x][y] for x in range(k)) for y in range(k)]
+            if kind(w) is None:
+                total += math.log10(sum(a * b for a, b in zip(ahead, rest, strict=True)))
+                at = [x / sum(mass) for x in mass]
+            else:
+                y = kind(w)
+                total += math.log10(ahead[y] * (1 if w is None else (1 - rest[y]) * vocabulary[w][0] / size[y]))
+                at = [float(x == y) for x in range(k)]
+        return total
+
     assert len(got) == len(rows)
     for r in got:
         e = expected[r.doc_id, r.copy]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == e[:4] and r.base_score == pytest.approx(e[4], rel=1e-9)
-        assert r.score < 0
+        assert r.score == pytest.approx(score(r.copy), rel=1e-9)
+
+
+def test_classes_gather_words_of_one_kind(spark):
+    """Nouns and verbs that alternate: words beyond the seeds find the seeds' classes from their neighbours."""
+    r = random.Random(1)
+    noun, verb = [f"n{i}" for i in range(40)], [f"v{i}" for i in range(40)]
+    weights = [200] * 4 + [5] * 36
+    rows = [(i, " ".join(w for _ in range(30) for w in (r.choices(noun, weights)[0], r.choices(verb, weights)[0]))) for i in range(60)]
+    own, staged = lm.prepared(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    model = lm.model_of(own, staged, 8, 2)
+    of = {x.word: x["class"] for x in model.vocabulary().collect()}
+    assert len({of[w] for w in of if w[0] == "n"}) == 1 and len({of[w] for w in of if w[0] == "v"}) == 1 and of["n0"] != of["v0"]
 
 
 def test_exchange_ends_where_no_move_helps():

@@ -5,11 +5,14 @@ dictionary of its own, and sends each distinct word once to the bucket that the
 names. Buckets see every distinct word of the corpus, answer for it once, and send the answers
 back to the blocks that asked; a block puts the answers in the places of the words.
 
-So a word is shuffled once a block, not once an occurrence, whatever its frequency; a block and a
-bucket have bounded sizes (the number of buckets follows the number of input partitions). Blocks
-are written to the shared folder, hence block numbers and their texts stay together when a lost
-executor makes Spark run a task again; they are bucketed by block, so only answers are shuffled
-when the two meet.
+So a word is shuffled once a block, not once an occurrence, whatever its frequency. A block has a
+bounded size. Buckets follow the number of input partitions, so a bucket's distinct words stay as
+many; what blocks ask it is looked at one block after the other. Words of one block and bucket
+travel packed as one value, which keeps both shuffles small.
+
+Blocks are written to the shared folder, hence block numbers and their texts stay together when a
+lost executor makes Spark run a task again; they are bucketed by block, so only answers are
+shuffled when the two meet.
 """
 
 from __future__ import annotations
@@ -78,37 +81,36 @@ def from_ipc(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def planes(x: np.ndarray, n: int) -> bytes:
-    """The n low bytes of whole numbers, all lowest bytes first: packs better than the numbers."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :n].T).tobytes()
+def planes(x: np.ndarray, width: int = 4) -> bytes:
+    """Whole numbers of width bytes (4 or 8), all lowest bytes first: packs better than the numbers."""
+    return np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
 
 
-def from_planes(data: bytes, n: int) -> np.ndarray:
-    parts = np.frombuffer(data, np.uint8).reshape(n, -1)
-    out = np.zeros((parts.shape[1], 4), np.uint8)
-    out[:, :n] = parts.T
-    return out.view("<u4").ravel()
+def from_planes(data: bytes, width: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
 def pack_words(listed: list[bytes]) -> tuple[bytes, bytes]:
-    return planes(np.fromiter(map(len, listed), np.uint32, len(listed)), 4), b"".join(listed)
+    return planes(np.fromiter(map(len, listed), np.uint32, len(listed))), b"".join(listed)
 
 
 def unpack_words(lengths: bytes, data: bytes) -> list[bytes]:
-    return slices(data, from_planes(lengths, 4).astype(np.int64)) if lengths else []
+    return slices(data, from_planes(lengths).astype(np.int64)) if lengths else []
 
 
-def staged(docs: DataFrame, split: Callable[[pa.Array], Iterator[list]], name: str, text: str = "text", weight: str | None = None) -> DataFrame:
+def staged(docs: DataFrame, split: Callable[[pa.Array], Iterator[list]], name: str, text: str = "text", weight: str | None = None, buckets: int | None = None) -> DataFrame:
     """docs as blocks (block, texts, words), a table in the shared folder that is bucketed by block.
 
     split: the words (bytes) of each of some texts. texts has the other columns, word counts and
     positions; words has the dictionary in the order of its buckets and, if a weight column is
-    named, how often each word occurs in rows where that column is true.
+    named, how often each word occurs in rows where that column is true. The catalogue forgets
+    the table at once; its files stay in the shared folder.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    buckets = max(16, partitions_of(docs))
+    buckets = buckets or max(16, partitions_of(docs))
     kept = [c for c in docs.columns if c != text]
+    most_words, most_distinct = BLOCK_WORDS, BLOCK_DISTINCT
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng()
@@ -121,16 +123,18 @@ def staged(docs: DataFrame, split: Callable[[pa.Array], Iterator[list]], name: s
             carried = pa.Table.from_batches(rows).combine_chunks()
             listed = list(words)
             n = len(listed)
-            of = np.fromiter(map(zlib.crc32, listed), np.uint32, n) % buckets
+            of = np.fromiter(map(zlib.crc32, listed), np.int64, n) % buckets
             order = np.lexsort((-np.bincount(code, minlength=n), of))  # by bucket, frequent words first
-            bounds = np.searchsorted(of[order], np.arange(buckets + 1))
+            asked_of, first = np.unique(of[order], return_index=True)
+            bounds = np.append(first, n).astype(np.int64)
+            at = np.searchsorted(asked_of, of)
             rank = np.empty(n, np.int64)
-            rank[order] = np.arange(n) - bounds[of[order]]
-            texts = pack(ipc(carried.to_batches()[0]), count, bounds.astype(np.int64), planes(of[code], 2), planes(rank[code], 3))
+            rank[order] = np.arange(n) - bounds[at[order]]
+            texts = pack(ipc(carried.to_batches()[0]), count, asked_of, bounds, planes(at[code]), planes(rank[code]))
             tally = b""
             if weight:
                 tally = np.bincount(code[np.repeat(np.array(weights, dtype=bool), count)], minlength=n)[order].astype(np.int64).tobytes()
-            asks = pack(bounds.astype(np.int64), *pack_words([listed[k] for k in order.tolist()]), tally)
+            asks = pack(asked_of, bounds, *pack_words([listed[k] for k in order.tolist()]), tally)
             words.clear()
             for x in (sizes, codes, rows, weights):
                 x.clear()
@@ -146,7 +150,7 @@ def staged(docs: DataFrame, split: Callable[[pa.Array], Iterator[list]], name: s
                 sizes.append(len(own))
                 weights.append(bool(marks[i]))
                 seen += len(own)
-                if seen >= BLOCK_WORDS or len(words) >= BLOCK_DISTINCT:
+                if seen >= most_words or len(words) >= most_distinct:
                     rows.append(carried.slice(since, i + 1 - since))
                     since, seen = i + 1, 0
                     yield close()
@@ -158,7 +162,9 @@ def staged(docs: DataFrame, split: Callable[[pa.Array], Iterator[list]], name: s
     tag = f"{name}_{uuid.uuid4().hex}"
     made = docs.mapInArrow(run, STAGED).write.option("compression", "uncompressed").option("path", f"{shared_dir(spark).rstrip('/')}/{tag}")
     made.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(tag)
-    return spark.table(tag)
+    out = spark.table(tag)
+    spark.sql(f"DROP TABLE {tag}")
+    return out
 
 
 def asked(staged_blocks: DataFrame) -> DataFrame:
@@ -167,37 +173,47 @@ def asked(staged_blocks: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for block, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                bounds, lengths, data, tally = unpack(blob.as_py(), np.int64, None, None, np.int64)
-                listed = unpack_words(lengths, data)
-                at, blobs = [], []
-                for k in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
-                    lo, hi = int(bounds[k]), int(bounds[k + 1])
-                    at.append(k)
-                    blobs.append(pack(*pack_words(listed[lo:hi]), tally[lo:hi]))
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=["block", "bucket", "blob"])
+                asked_of, bounds, lengths, data, tally = unpack(blob.as_py(), np.int64, np.int64, None, None, np.int64)
+                listed, ends = unpack_words(lengths, data), bounds.tolist()
+                blobs = [pack(*pack_words(listed[lo:hi]), tally[lo:hi]) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(blobs), pa.int64()), pa.array(asked_of), pa.array(blobs, pa.binary())], names=["block", "bucket", "blob"])
 
-    return staged_blocks.select("block", "words").mapInArrow(run, "block long, bucket int, blob binary")
+    return staged_blocks.select("block", "words").mapInArrow(run, "block long, bucket long, blob binary")
 
 
-def answered(staged_blocks: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, np.ndarray, np.ndarray, Iterable], pa.Table], asks: tuple, schema) -> DataFrame:
-    """Rows that finish makes of each block: its columns, word counts, positions and answers.
+def answered(staged_blocks: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, np.ndarray, np.ndarray, Iterable], pa.Table], asks: tuple, schema, numbered: bool = False) -> DataFrame:
+    """Rows that finish makes of each block: its columns, word counts, positions and answers; behind the block's number, if numbered.
 
     answers: (block, bucket, blob), for each bucket that the block has asked, in its words' order;
-    finish gets the numbers of those words and the blob's parts.
+    finish gets the bucket, the numbers of those words and the blob's parts.
     """
 
     def run(block_rows: pa.Table, answer_rows: pa.Table) -> pa.Table:
         out = []
         for blob in block_rows.column("texts"):
-            head, count, bounds, of, rank = unpack(blob.as_py(), None, np.int64, np.int64, None, None)
-            code = bounds[from_planes(of, 2)] + from_planes(rank, 3)
-            got = ((slice(int(bounds[k]), int(bounds[k + 1])), *unpack(x.as_py(), *asks)) for k, x in zip(answer_rows.column("bucket").to_pylist(), answer_rows.column("blob"), strict=True))
-            out.append(finish(from_ipc(head), count, code, got))
+            head, count, asked_of, bounds, at, rank = unpack(blob.as_py(), None, np.int64, np.int64, np.int64, None, None)
+            code = bounds[from_planes(at)] + from_planes(rank)
+            own = answer_rows.column("bucket").to_pylist()
+            place = np.searchsorted(asked_of, np.array(own, np.int64)).tolist()
+            got = ((k, slice(int(bounds[i]), int(bounds[i + 1])), *unpack(x.as_py(), *asks)) for k, i, x in zip(own, place, answer_rows.column("blob"), strict=True))
+            made = finish(from_ipc(head), count, code, got)
+            out.append(made.add_column(0, "block", pa.repeat(block_rows.column("block")[0], made.num_rows)) if numbered else made)
         return pa.concat_tables(out)
 
     return staged_blocks.select("block", "texts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def by_bucket(asks: DataFrame, answer: Callable, schema: str) -> DataFrame:
-    """answer(rows) for the asks of each bucket."""
-    return asks.groupBy("bucket").applyInPandas(answer, schema)
+def streamed(asks: DataFrame, fresh: Callable[[], Callable[[bytes], bytes]]) -> DataFrame:
+    """(block, bucket, blob) of answers, ask after ask: fresh() gives what answers the asks of one bucket."""
+
+    def run(batches):
+        bucket, answer = None, None
+        for b in batches:
+            blobs = []
+            for k, blob in zip(b.column("bucket").to_pylist(), b.column("blob"), strict=True):
+                if k != bucket:
+                    bucket, answer = k, fresh()
+                blobs.append(answer(blob.as_py()))
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), pa.array(blobs, pa.binary())], names=["block", "bucket", "blob"])
+
+    return asks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, bucket long, blob binary")

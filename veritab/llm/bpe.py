@@ -7,7 +7,9 @@ vocabulary file has ids, so it is broadcast - and joins the pieces' bytes by pos
 
 Defined results. A null text is encoded like an empty one: no tokens, and the digests of nothing.
 Special tokens' strings in a text are their ids, as in the tokenizers library. Rows are kept
-apart even if doc_id repeats or is null; their other columns pass through.
+apart even if doc_id repeats or is null; their other columns pass through, but for those called
+like an output. A very long text is a block of its own and encoded whole. An empty table gives
+an empty one.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ import os
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -33,6 +34,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Texts with characters from here on are split by the tokenizer's own splitter: what is a letter
 #: there may depend on the Unicode version.
 _SETTLED = "ɐ"
+#: Distinct words of a bucket that a task holds with their ids; beyond, it starts anew (and encodes some again).
+KNOWN = 500_000
 OUTPUTS = ("n_tokens", "ids", "ids_sha256", "decoded_sha256", "decoded")
 
 
@@ -97,41 +100,45 @@ def pieces(file: str) -> list[bytes]:
     return out
 
 
-def _encode_bucket(file: str):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        listed = [blocks.unpack_words(*blocks.unpack(x, None, None, None)[:2]) for x in rows["blob"]]
-        distinct = sorted(set().union(*listed)) if listed else []
-        t = _tokenizer(file)
-        ids_of = {}
-        for k in range(0, len(distinct), 4096):
-            part = distinct[k : k + 4096]
-            encoded = t.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            ids_of.update(zip(part, (np.array(e.ids, dtype="<u4") for e in encoded), strict=True))
-        blobs = []
-        for words in listed:
+def _encoding(file: str):
+    """What answers the asks of a bucket: each distinct word is encoded once (KNOWN words are held at once)."""
+
+    def fresh():
+        ids_of: dict[bytes, bytes] = {}
+
+        def answer(blob: bytes) -> bytes:
+            words = blocks.unpack_words(*blocks.unpack(blob, None, None, None)[:2])
+            if len(ids_of) > KNOWN:
+                ids_of.clear()
+            new = [w for w in words if w not in ids_of]
+            for k in range(0, len(new), 4096):
+                part = new[k : k + 4096]
+                encoded = _tokenizer(file).encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+                ids_of.update(zip(part, (np.array(e.ids, dtype="<u4").tobytes() for e in encoded), strict=True))
             found = [ids_of[w] for w in words]
-            blobs.append(blocks.pack(blocks.planes(np.fromiter(map(len, found), np.uint32, len(found)), 4), blocks.planes(np.concatenate([np.zeros(0, "<u4"), *found]), 4)))
-        return pd.DataFrame({"block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "blob": blobs})
+            return blocks.pack(blocks.planes(np.fromiter(map(len, found), np.uint32, len(found)) // 4), blocks.planes(np.frombuffer(b"".join(found), "<u4")))
+
+        return answer
 
-    return run
+    return fresh
 
 
-def tokenized(docs: DataFrame, file: str | None = None, outputs: tuple[str, ...] = ("n_tokens", "ids"), text: str = "text") -> DataFrame:
+def tokenized(docs: DataFrame, file: str | None = None, outputs: tuple[str, ...] = ("n_tokens", "ids"), text: str = "text", buckets: int | None = None) -> DataFrame:
     """docs without its text, with the outputs named: n_tokens, ids, ids_sha256, decoded_sha256, decoded."""
     file = file or default_file()
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in OUTPUTS])
     kinds = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(), "decoded": T.StringType()}
     schema = T.StructType([f for f in docs.schema.fields if f.name != text] + [T.StructField(o, kinds[o]) for o in outputs])
-    staged = blocks.staged(docs, lambda texts: (split_words(x.as_py() or "", file) for x in texts), "veritab_bpe", text)
-    answers = blocks.by_bucket(blocks.asked(staged), _encode_bucket(file), "block long, bucket int, blob binary")
+    staged = blocks.staged(docs, lambda texts: (split_words(x.as_py() or "", file) for x in texts), "veritab_bpe", text, buckets=buckets)
+    answers = blocks.streamed(blocks.asked(staged), _encoding(file))
     piece_table = docs.sparkSession.sparkContext.broadcast(pieces(file))  # a row for each id of the vocabulary file
 
     def finish(rows: pa.Table, count: np.ndarray, code: np.ndarray, got) -> pa.Table:
         n = int(code.max()) + 1 if len(code) else 0
         ids_of, text_of, many = [b""] * n, [b""] * n, np.zeros(n, np.int64)
         piece = piece_table.value
-        for place, lengths, ids in got:
-            lengths, ids = blocks.from_planes(lengths, 4), blocks.from_planes(ids, 4)
+        for _, place, lengths, ids in got:
+            lengths, ids = blocks.from_planes(lengths), blocks.from_planes(ids)
             many[place] = lengths
             listed = [piece[i] for i in ids.tolist()]
             raw, ends = ids.tobytes(), np.cumsum(lengths).tolist()
