@@ -79,3 +79,39 @@ def test_order_and_factors(result):
 def test_entities_are_dense(result):
     seq = sorted(e.entitySeq for e in result[3])
     assert seq == list(range(1, len(seq) + 1))
+
+
+def test_a_run_says_what_it_does(spark, tmp_path):
+    """Six stages with counters, and the run's events, in order."""
+    from veritab.model import DESCRIPTORS, ITEMS
+    from veritab.operators.review import AuditLog
+    from veritab.plans.run import STAGES, Runner
+    from veritab.sources.fixtures import Block, item_rows
+    from veritab.sources.readers import with_order
+
+    rows = item_rows("P", [Block("heading", "1 Design"), Block("para", "A total of 620 subjects will be randomised.")], "Header P") + item_rows("R", [Block("heading", "1 Results"), Block("para", "A total of 655 subjects were randomised.")], "Header R")
+    descriptors = with_order(spark.createDataFrame([("P", "SAP", "p.pdf", "Plan", "v1.0", "", ""), ("R", "CSR", "r.pdf", "Report", "v1.0", "", "")], DESCRIPTORS))
+    log, said, runner = AuditLog(spark, str(tmp_path / "log")), [], Runner()
+    out = runner.run(spark.createDataFrame(rows, ITEMS), descriptors, on_stage=lambda stage, counters: said.append((stage, counters)), log=log, timestamp="2024-01-01T00:00:00Z")
+    assert runner.state == "READY" and out is runner.result and tuple(s for s, _ in said) == STAGES
+    counters = dict(said)
+    assert counters["INGEST"] == {"documents": 2, "pages": 4} and counters["DEBOILERPLATE"]["rotatedItems"] == 8 and counters["DEBOILERPLATE"]["linesRemoved"] == 4
+    assert counters["STRUCTURE"]["paragraphs"] >= 4 and counters["EXTRACT"] == {"entities": 2, "concepts": 2} and counters["SCORE"]["findings"] == 1
+    assert [r.eventType for r in log.events().orderBy("id").collect()] == ["DOCUMENT_INGESTED", "DOCUMENT_INGESTED", "EXTRACTION_COMPLETED", "ANALYSIS_COMPLETED"]
+    assert "2 pages, 1 printed, offset 1" in log.events().orderBy("id").first().detail
+    with pytest.raises(Exception):
+        runner.run(None, None)
+    assert runner.state == "FAILED" and runner.error is not None
+
+
+def test_declared_pairs_are_the_callers(spark):
+    from pyspark.sql import functions as F
+
+    from veritab.operators import compare
+
+    rows = rows_of("Visits may shift ±3 days.", doc="P", doc_type="SAP", seq=1) + rows_of("30 days after the last dose.", doc="R", doc_type="CSR", seq=2)
+    pair = compare.RelatedPair("schedule.visit_window", "safety.followup_window", False, lambda l, r: l != r, lambda l, r: F.concat(l, F.lit(" and "), r), lambda l, r: F.lit("They differ."))
+    none = spark.createDataFrame([], ABBREVIATIONS), spark.createDataFrame([], SECTIONS)
+    found = analyse(paragraphs(spark, rows), none[1], none[0], pairs=(pair,), coverage=(compare.Coverage("safety.", "CSR", "SAP"),)).findings.collect()
+    assert {(f.conceptKey, f.title) for f in found} == {("schedule.visit_window~safety.followup_window", "+/-3 days and 30 days"), ("safety.followup_window", "Safety follow-up — required by CSR, absent from SAP")}
+    assert all(f.regulatoryContext and f.suggestedAction for f in found)

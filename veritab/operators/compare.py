@@ -7,15 +7,30 @@ and section) are gathered into a finding.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions import scalars as S
 from veritab.model import DOCUMENT_TYPES, SEVERITIES, position
 from veritab.operators import profiles, relational, score
 
-#: What one document requires of another: concept prefix, where it is stated, where it must be.
-COVERAGE = [("assessment.", "PROTOCOL", "CRF"), ("population.pps_site_exclusion", "SAP", "PROTOCOL")]
+@dataclass(frozen=True)
+class Coverage:
+    """Concepts (by their beginning) that one document type states and another must have; describe tells of one that has not."""
+
+    prefix: str
+    stated: str
+    expected: str
+
+    def describe(self) -> Column:
+        return F.concat(F.lit(f"{self.stated} "), F.col("citation.version"), F.lit(' states "'), F.col("rawText"), F.lit(f'"; {self.expected} has no counterpart.'))
+
+
+#: What one document requires of another.
+COVERAGE = (Coverage("assessment.", "PROTOCOL", "CRF"), Coverage("population.pps_site_exclusion", "SAP", "PROTOCOL"))
 #: Share of drift below which more subjects than planned are normal.
 DRIFT = 0.02
 SIMILAR = 0.5
@@ -82,44 +97,77 @@ def page_evidence(facts: DataFrame) -> DataFrame:
     return evidence(rows, F.concat_ws("|", F.lit("pages"), F.col("root").cast("string")), "CLUSTER", F.concat(F.lit("crf_page."), slug), F.lit("CRF_MAPPING"), severity=minor, title=F.lit("names"), description=F.concat(F.col("_n").cast("string"), F.lit(" names for what is taken to be one page.")))
 
 
-def coverage_evidence(facts: DataFrame, documents: DataFrame) -> DataFrame:
+def coverage_evidence(facts: DataFrame, documents: DataFrame, rows: Sequence[Coverage] = COVERAGE) -> DataFrame:
     """Facts of one document type without a counterpart in the type that must have one."""
     out, types = None, documents.select(F.collect_set("documentType").alias("t"))
-    for prefix, stated, expected in COVERAGE:
+    for c in rows:
+        prefix, stated, expected = c.prefix, c.stated, c.expected
         own = facts.where(F.col("conceptKey").startswith(prefix))
         source = relational.uncovered(own.where(F.col("documentType") == stated), own.where(F.col("documentType") == expected), ["conceptKey"])
         source = source.crossJoin(F.broadcast(types.where(F.array_contains("t", stated) & F.array_contains("t", expected)).select(F.lit(1).alias("_both"))))  # one row or none
         part = evidence(source, F.concat_ws("|", F.lit("coverage"), F.lit(stated), "conceptKey"), "COVERAGE_GAP", F.col("conceptKey"), F.lit("COVERAGE"), scope=F.lit("CROSS_DOCUMENT"), severity=score.severity(F.col("conceptKey"), F.lit("COVERAGE"), F.lit(False)),
                         title=F.concat(profiles.label(F.col("conceptKey"), F.lit("COVERAGE")), F.lit(f" — required by {stated}, absent from {expected}")),
-                        description=F.concat(F.lit(f"{stated} "), F.col("citation.version"), F.lit(' states "'), F.col("rawText"), F.lit(f'"; {expected} has no counterpart.')), types=F.array(F.lit(stated), F.lit(expected)))
+                        description=c.describe(), types=F.array(F.lit(stated), F.lit(expected)))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def pair_evidence(facts: DataFrame) -> DataFrame:
-    """Two declared pairs of concepts: planned against randomised subjects (all documents together), default against primary interval (in each document)."""
-    down = F.coalesce(_mode() == "downgrade", F.lit(False))
+@dataclass(frozen=True)
+class RelatedPair:
+    """Two concepts whose settled values (l, r: columns of text) are judged together, over all documents or in each.
+
+    evaluate says whether they are a finding; benign (none, mitigate or downgrade), note, title and
+    description tell of it.
+    """
+
+    left: str
+    right: str
+    same_document: bool
+    evaluate: Callable[[Column, Column], Column]
+    title: Callable[[Column, Column], Column]
+    description: Callable[[Column, Column], Column]
+    benign: Callable[[Column, Column], Column] = lambda _l, _r: F.lit("none")
+    note: Callable[[Column, Column], Column] = lambda _l, _r: F.lit(None).cast("string")
+    category: str = "NUMERIC"
+
+
+def _drift(planned: Column, actual: Column) -> Column:
+    return F.abs(actual.try_cast("double") - planned.try_cast("double")) / F.nullif(planned.try_cast("double"), F.lit(0.0))
 
-    def pair(left: str, right: str, same_document: bool) -> DataFrame:
-        own = facts.where(F.col("conceptKey").isin(left, right)).withColumn("_side", F.when(F.col("conceptKey") == left, "l").otherwise("r")).withColumn("_group", F.col("documentId") if same_document else F.lit("all"))
+
+def _percent(l: Column, r: Column) -> Column:
+    return S.fixed(_drift(l, r) * 100, 1)
+
+
+PAIRS = (
+    RelatedPair(
+        "sample_size.planned", "sample_size.randomised", False, lambda l, r: _drift(l, r).isNotNull(),
+        title=lambda l, r: F.concat(F.lit("Planned and randomised subjects ("), l, F.lit(" planned, "), r, F.lit(" reported)")),
+        description=lambda l, r: F.concat(F.lit("Planned are "), l, F.lit(" subjects, reported "), r, F.lit(", "), _percent(l, r), F.lit("% apart.")),
+        benign=lambda l, r: F.when(_drift(l, r) < DRIFT, "downgrade").otherwise("none"),
+        note=lambda l, r: F.when(_drift(l, r) < DRIFT, F.concat(F.lit("Enrolment ended within "), _percent(l, r), F.lit("% of the plan, which is usual.")))),
+    RelatedPair(
+        "stat.default_ci_level", "equivalence.ci_level.ratio", True, lambda l, r: l != r,
+        title=lambda l, r: F.concat(F.lit("Default and primary confidence level ("), l, F.lit(" default, "), r, F.lit(" primary)")),
+        description=lambda l, r: F.concat(F.lit("The default is "), l, F.lit("; the primary criterion uses "), r, F.lit(".")),
+        benign=lambda _l, _r: F.lit("mitigate"), note=lambda _l, _r: F.lit("The primary criterion may override the default on purpose; a reviewer has to confirm it.")),
+)
+
+
+def pair_evidence(facts: DataFrame, pairs: Sequence[RelatedPair] = PAIRS) -> DataFrame:
+    """Declared pairs of concepts, by the values that documents settle on."""
+    down = F.coalesce(_mode() == "downgrade", F.lit(False))
+    out = evidence(facts.limit(0), _null(), "RELATED_PAIR", _null(), _null())
+    for p in pairs:
+        own = facts.where(F.col("conceptKey").isin(p.left, p.right)).withColumn("_side", F.when(F.col("conceptKey") == p.left, "l").otherwise("r")).withColumn("_group", F.col("documentId") if p.same_document else F.lit("all"))
         settled = relational.consensus(own, ["_group", "_side"], "normalizedValue", "entitySeq", down)
-        l = settled.where("_side = 'l'").select("_group", F.col("consensus").alias("_l"))
-        r = settled.where("_side = 'r'").select("_group", F.col("consensus").alias("_r"))
-        return own.join(l.join(r, "_group"), "_group").where(F.col("normalizedValue") == F.when(F.col("_side") == "l", F.col("_l")).otherwise(F.col("_r")))
-
-    rows = pair("sample_size.planned", "sample_size.randomised", False)
-    planned, actual = F.col("_l").try_cast("double"), F.col("_r").try_cast("double")
-    drift = F.abs(actual - planned) / F.nullif(planned, F.lit(0.0))
-    flagged = rows.where(drift.isNotNull())
-    percent = S.fixed(F.abs(drift) * 100, 1)
-    one = evidence(flagged, F.lit("pair|planned"), "RELATED_PAIR", F.lit("sample_size.planned~sample_size.randomised"), F.lit("NUMERIC"), severity_key=F.lit("sample_size.planned"), benign=F.when(drift < DRIFT, "downgrade").otherwise("none"),
-                   note=F.when(drift < DRIFT, F.concat(F.lit("Enrolment ended within "), percent, F.lit("% of the plan, which is usual."))), title=F.concat(F.lit("Planned and randomised subjects ("), F.col("_l"), F.lit(" planned, "), F.col("_r"), F.lit(" reported)")),
-                   description=F.concat(F.lit("Planned are "), F.col("_l"), F.lit(" subjects, reported "), F.col("_r"), F.lit(", "), percent, F.lit("% apart.")))
-    rows = pair("stat.default_ci_level", "equivalence.ci_level.ratio", True).where("_l <> _r")
-    two = evidence(rows, F.concat(F.lit("pair|ci|"), "documentId"), "RELATED_PAIR", F.lit("stat.default_ci_level~equivalence.ci_level.ratio"), F.lit("NUMERIC"), severity_key=F.lit("stat.default_ci_level"), benign=F.lit("mitigate"),
-                   note=F.lit("The primary criterion may override the default on purpose; a reviewer has to confirm it."), title=F.concat(F.lit("Default and primary confidence level ("), F.col("_l"), F.lit(" default, "), F.col("_r"), F.lit(" primary)")),
-                   description=F.concat(F.lit("The default is "), F.col("_l"), F.lit("; the primary criterion uses "), F.col("_r"), F.lit(".")))
-    return one.unionByName(two)
+        l, r = (settled.where(F.col("_side") == side).select("_group", F.col("consensus").alias(f"_{side}")) for side in ("l", "r"))
+        judged = l.join(r, "_group").where(F.coalesce(p.evaluate(F.col("_l"), F.col("_r")), F.lit(False)))
+        rows = own.join(judged, "_group").where(F.col("normalizedValue") == F.when(F.col("_side") == "l", F.col("_l")).otherwise(F.col("_r")))
+        key = f"{p.left}~{p.right}"
+        args = F.col("_l"), F.col("_r")
+        out = out.unionByName(evidence(rows, F.concat(F.lit(f"pair|{key}|"), "_group"), "RELATED_PAIR", F.lit(key), F.lit(p.category), severity_key=F.lit(p.left), benign=p.benign(*args), note=p.note(*args), title=p.title(*args), description=p.description(*args)))
+    return out
 
 
 def policy_evidence(facts: DataFrame) -> DataFrame:
@@ -138,7 +186,8 @@ def verdicts(facts: DataFrame) -> DataFrame:
     number = lambda c, k: F.try_element_at(F.col(f"{c}.attributes"), F.lit(k)).try_cast("double")
     whole = F.struct(*facts.columns)
     criteria = facts.where(F.col("conceptKey").startswith("equivalence.ci_level.") & F.map_contains_key("attributes", "lower")).select(F.try_element_at("attributes", F.lit("statistic")).alias("statistic"), whole.alias("criterion"), (F.col("documentType") == "SAP").alias("_plan"))
-    criteria = criteria.withColumn("_any", F.bool_or("_plan").over(Window.partitionBy())).where(F.col("_plan") | ~F.col("_any"))
+    planned = criteria.agg(F.coalesce(F.bool_or("_plan"), F.lit(False)).alias("_any"))  # one row
+    criteria = criteria.crossJoin(F.broadcast(planned)).where(F.col("_plan") | ~F.col("_any")).drop("_any")
     observed = facts.where(F.col("conceptKey").startswith("equivalence.observed.")).select(F.try_element_at("attributes", F.lit("statistic")).alias("statistic"), whole.alias("result"))
     first = observed.groupBy("statistic").agg(F.min_by("result", "result.entitySeq").alias("result"))
     met = (number("result", "lower") >= number("criterion", "lower")) & (number("result", "upper") <= number("criterion", "upper"))
@@ -164,11 +213,19 @@ def arithmetic_evidence(checks: DataFrame) -> DataFrame:
                     description=F.concat("expression", F.lit(" gives "), "expected", F.lit("; stated is "), "stated", F.lit(" (checked to "), "tolerance", F.lit(").")))
 
 
-def all_evidence(facts: DataFrame, checks: DataFrame, documents: DataFrame, include_practice: bool = True) -> list[DataFrame]:
+def routed(facts: DataFrame, include_practice: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Facts whose values are compared with each other, and facts of concepts that expect a value."""
+    own = facts.where("conceptKey <> 'crf_page.reference'")
+    expects = F.map_contains_key(F.coalesce("attributes", F.create_map().cast("map<string,string>")), "expected")
+    concepts = own.groupBy("conceptKey").agg(F.bool_or(expects).alias("_exp")).where("_exp").select("conceptKey")
+    plain = own.join(concepts, "conceptKey", "left_anti").where(~F.col("conceptKey").startswith("assessment.") & (F.lit(include_practice) | ~F.col("conceptKey").startswith("practice.")))
+    return plain, own.join(concepts, "conceptKey", "left_semi")
+
+
+def all_evidence(facts: DataFrame, checks: DataFrame, documents: DataFrame, include_practice: bool = True, pairs: Sequence[RelatedPair] = PAIRS, coverage: Sequence[Coverage] = COVERAGE) -> list[DataFrame]:
     """The evidence of every check. Page names, assessments and facts with an expected value go their own ways."""
-    routed = facts.where("conceptKey <> 'crf_page.reference'").withColumn("_exp", F.max(F.map_contains_key(F.coalesce("attributes", F.create_map().cast("map<string,string>")), "expected").cast("int")).over(Window.partitionBy("conceptKey")))
-    plain = routed.where((F.col("_exp") == 0) & ~F.col("conceptKey").startswith("assessment.") & (F.lit(include_practice) | ~F.col("conceptKey").startswith("practice."))).drop("_exp")
-    return [value_evidence(plain), expected_evidence(routed.where("_exp = 1").drop("_exp")), page_evidence(facts), coverage_evidence(facts, documents), pair_evidence(facts), policy_evidence(facts), verdict_evidence(facts), arithmetic_evidence(checks)]
+    plain, expected = routed(facts, include_practice)
+    return [value_evidence(plain), expected_evidence(expected), page_evidence(facts), coverage_evidence(facts, documents, coverage), pair_evidence(facts, pairs), policy_evidence(facts), verdict_evidence(facts), arithmetic_evidence(checks)]
 
 
 def findings_of(rows: DataFrame) -> DataFrame:
@@ -193,11 +250,11 @@ def findings_of(rows: DataFrame) -> DataFrame:
     title = F.when(F.col("kind") == "CLUSTER", F.concat(F.lit('One page named "'), F.array_join(values, '" and "'), F.lit('"'))).otherwise(F.coalesce("title", F.concat(profiles.label(F.col("conceptKey"), F.col("category")), F.lit(" differs "), where, F.when(F.length(summary) <= 56, F.concat(F.lit(" — "), summary)).otherwise(""))))
     g = g.select(
         "conceptKey", "category", severity.alias("severity"), F.col("_c.score").alias("confidence"), F.col("_c.factors").alias("confidenceFactors"), "scope", title.alias("title"), F.coalesce("description", F.concat(F.array_join(F.transform("_variants", lambda x: x["said"]), "; "), F.lit("."))).alias("description"),
-        F.transform("occurrences", lambda o: o.dropFields("entitySeq")).alias("occurrences"), "documentTypes", profiles.context(F.col("category")).alias("regulatoryContext"), profiles.action(F.col("conceptKey"), F.col("category")).alias("suggestedAction"), F.when(F.col("benign") != "none", F.col("note")).alias("benignNote"), F.col("draft"))
-    order = [position(F.col("severity"), SEVERITIES), F.desc("confidence"), F.collate("conceptKey", "UNICODE"), F.collate("title", "UNICODE"), "draft"]
+        F.transform("occurrences", lambda o: o.dropFields("entitySeq")).alias("occurrences"), "documentTypes", profiles.context(F.col("conceptKey"), F.col("category")).alias("regulatoryContext"), profiles.action(F.col("conceptKey"), F.col("category")).alias("suggestedAction"), F.when(F.col("benign") != "none", F.col("note")).alias("benignNote"), F.col("draft"))
+    order = [position(F.col("severity"), SEVERITIES), -F.col("confidence"), F.collate("conceptKey", "UNICODE"), F.collate("title", "UNICODE"), "draft"]
     return relational.dense_ids(g, order, "F-", 3).select("id", *[c for c in g.columns if c != "draft"])
 
 
-def concepts_compared(facts: DataFrame, checks: DataFrame) -> DataFrame:
+def concepts_compared(facts: DataFrame, checks: DataFrame, declared: int = len(PAIRS) + len(COVERAGE)) -> DataFrame:
     """One number: concepts, declared pairs and coverage rows, and recomputations."""
-    return facts.agg(F.count_distinct("conceptKey").alias("n")).crossJoin(checks.agg(F.count("*").alias("m"))).select((F.col("n") + F.col("m") + 2 + len(COVERAGE)).alias("conceptsCompared"))
+    return facts.agg(F.count_distinct("conceptKey").alias("n")).crossJoin(checks.agg(F.count("*").alias("m"))).select((F.col("n") + F.col("m") + declared).alias("conceptsCompared"))

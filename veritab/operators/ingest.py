@@ -162,12 +162,16 @@ def ingest(items: DataFrame, descriptors: DataFrame, pages: DataFrame | None = N
     pages: (documentId, pdfPage), with pages that have no items; else the pages that items are on.
     """
     pages = items.select(*PAGE).distinct() if pages is None else pages
-    lines = lines_of(upright(items)).persist()
+    lines = relational.cut(lines_of(upright(items)))
     said, offsets = pagination(lines, pages)
     repeated = boilerplate(lines, pages)
-    sections, paragraphs = structure(without_boilerplate(lines, repeated))
+    kept = without_boilerplate(lines, repeated)
+    sections, paragraphs = structure(kept)
     paragraphs = printed_pages(paragraphs, said, offsets)
     counts = pages.groupBy("documentId").agg(F.count_distinct("pdfPage").alias("pdfPageCount"))
     listed = repeated.groupBy("documentId").agg(F.array_sort(F.collect_list("text")).alias("boilerplate"))
     documents = descriptors.withColumnRenamed("id", "documentId").withColumnRenamed("type", "documentType").join(counts, "documentId", "left").join(offsets, "documentId", "left").join(listed, "documentId", "left").join(rotated_dropped(items), "documentId", "left")
+    kept = relational.cut(kept)
+    removed = lines.groupBy("documentId").agg(F.count("*").alias("_all")).join(kept.groupBy("documentId").agg(F.count("*").alias("_kept")), "documentId", "left")
+    documents = documents.join(removed.select("documentId", (F.col("_all") - F.coalesce("_kept", F.lit(0))).alias("linesRemoved")), "documentId", "left")
     return {"paragraphs": index_of(paragraphs, descriptors), "sections": printed_pages(sections, said, offsets), "abbreviations": abbreviations(paragraphs), "documents": documents, "lines": lines}

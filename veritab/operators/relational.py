@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritab.functions.matches import let
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row by order of each key."""
@@ -71,72 +73,149 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Co
 
 
 def anchored(values: Column, reach: float) -> Column:
-    """Bucket number of each sorted value: a value joins the open bucket if it is within reach of its first one."""
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    """Bucket number of each sorted value: a value joins the open bucket if it is within reach of its first one.
+
+    For arrays of bounded length (the items of a page); anchored_rows does the same for groups of any size.
+    """
+    start = F.struct(F.array().cast("array<double>").alias("firsts"))
+    last = lambda a: F.element_at(a, -1)
+    opens = lambda a, v: (F.size(a["firsts"]) == 0) | (v > F.when(F.size(a["firsts"]) > 0, last(a["firsts"])) + reach)
+    firsts = F.aggregate(values, start, lambda a, v: F.when(opens(a, v), F.struct(F.concat(a["firsts"], F.array(v)).alias("firsts"))).otherwise(a), lambda a: a["firsts"])
+    return let({"firsts": firsts, "values": values}, lambda o: F.transform(o["values"], lambda v: F.size(F.filter(o["firsts"], lambda x: x <= v))))
 
-    def step(a: Column, v: Column) -> Column:
-        opens = a["anchor"].isNull() | (F.abs(v - a["anchor"]) > reach)
-        n = F.when(opens, a["n"] + 1).otherwise(a["n"])
-        return F.struct(F.when(opens, v).otherwise(a["anchor"]).alias("anchor"), n.alias("n"), F.concat(a["out"], F.array(n)).alias("out"))
 
-    return F.aggregate(values, start, step, lambda a: a["out"])
+def anchored_rows(df: DataFrame, keys: Sequence[str], value: str, reach: float, out: str = "bucket") -> DataFrame:
+    """df's distinct (keys, value) with the number of the bucket that the value is in, counted from 1 in each key.
+
+    A bucket's first value leads to the next bucket's: the first value beyond its reach. That is a
+    chain over the distinct values, and only what it reaches from a key's least value starts a
+    bucket; pointer doubling finds that in as many rounds as a chain's length has binary digits.
+    A hot key costs its distinct values, not its rows.
+    """
+    keys = list(keys)
+    rows = cut(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).distinct())
+    # Values and the ends of their reaches in one order, downwards: what a reach leads to was seen last.
+    ends = rows.select(*keys, F.col("_v").alias("_from"), (F.col("_v") + reach).alias("_at"), F.lit(None).cast("double").alias("_value"))
+    places = ends.unionByName(rows.select(*keys, F.lit(None).cast("double").alias("_from"), F.col("_v").alias("_at"), F.col("_v").alias("_value")))
+    down = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.col("_value").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    jumps = cut(places.withColumn("_to", F.last("_value", ignorenulls=True).over(down)).where("_from IS NOT NULL").select(*keys, F.col("_from").alias("_v"), "_to"))
+    reached = cut(rows.groupBy(*keys).agg(F.min("_v").alias("_v")))
+    while True:
+        more = reached.join(jumps, [*keys, "_v"]).where("_to IS NOT NULL").select(*keys, F.col("_to").alias("_v"))
+        grown = cut(reached.union(more).distinct())
+        if grown.count() == reached.count():
+            break
+        reached = grown
+        beyond = jumps.select(*keys, F.col("_v").alias("_to"), F.col("_to").alias("_next"))
+        jumps = cut(jumps.join(beyond, [*keys, "_to"], "left").select(*keys, "_v", F.col("_next").alias("_to")))
+    w = Window.partitionBy(*keys).orderBy("_v")
+    marked = rows.join(reached.withColumn("_first", F.lit(1)), [*keys, "_v"], "left")
+    return marked.select(*keys, F.col("_v").alias(value), F.sum(F.coalesce("_first", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(out))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of undirected edges (a, b): the smallest node of each component, by propagating minima.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of undirected edges (a, b): the smallest node of each component, by propagating minima until nothing changes.
 
     Every round also jumps to the root's root, so rounds grow slowly with a component's length.
     """
-    both = _cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root")
-    before = None
-    for _ in range(rounds):
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"))
+    while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("m"))
-        grown = labels.join(near, labels.node == near.a, "left").select("node", F.least("root", "m").alias("root"))
+        grown = cut(labels.join(near, labels.node == near.a, "left").select("node", F.least("root", "m").alias("root"), F.col("root").alias("was")))
         jump = grown.select(F.col("node").alias("root"), F.col("root").alias("r2"))
-        labels = _cut(grown.join(jump, "root", "left").select("node", F.least("root", F.coalesce("r2", "root")).alias("root")))
-        now = labels.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return labels
+        moved = cut(looked_up(grown, jump, "root", "left").select("node", F.least("root", F.coalesce("r2", "root")).alias("root"), "was"))
+        labels = moved.select("node", "root")
+        if not moved.where("root <> was").take(1):
+            return labels
+
+
+#: A key is hot with more rows than this, and more than one in HOTS of all rows: HOTS hot keys at most.
+HOT_ROWS, HOTS = 1024, 100_000
+
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows (a stored table) joined with table, which has a row a key; rows of hot keys stay where they are."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    hot = cut(counts.where((F.col("_n") > max(HOT_ROWS, rows.count() // HOTS)) & F.col(key).isNotNull()).select(key))
+    if not hot.take(1):
+        return rows.join(table, key, how)
+    side = F.broadcast(hot)  # HOTS keys at most, and so are the table's rows of them
+    few = F.broadcast(table.join(side, key, "left_semi"))
+    return rows.join(side, key, "left_semi").join(few, key, how).unionByName(rows.join(side, key, "left_anti").join(table, key, how))
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder (a temporary one in local mode)."""
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the shared folder."""
     from veritab.plans.scratch import shared_dir
 
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def similar_pairs(df: DataFrame, node: str, tokens: str, least: float) -> DataFrame:
-    """Edges (a, b), a before b, of nodes whose tokens are similar: the share of the left node's tokens that prefix-match.
+    """Edges (a, b) that join the nodes whose tokens are similar: the share of the earlier node's tokens that prefix-match.
 
     A left node of n tokens needs matches for at least least * n of them, so one of its
-    n - ceil(least * n) + 1 rarest tokens must match: only those look for partners. Tokens that
-    prefix-match agree on their first three letters, or on all letters of the shorter one.
+    n - ceil(least * n) + 1 rarest tokens must match: only those look for partners. Of two tokens
+    that prefix-match the shorter one is equal to a prefix of the longer: each token meets equal
+    tokens and is met, by all its prefixes, by shorter ones - on whole tokens, so a common beginning
+    of many tokens is no key. Nodes of equal tokens are joined with the first of them, which alone
+    meets others (as the earlier one, if any of its nodes is before any of the others).
     """
-    t = df.select(F.col(node).alias("n"), F.col(tokens).alias("t")).where(F.size("t") > 0)
-    each = t.select("n", "t", F.explode(F.array_distinct("t")).alias("x")).withColumn("k", F.left("x", F.lit(3)))
-    common = each.groupBy("k").agg(F.count("*").alias("c"))
+    nodes = cut(df.select(F.col(node).alias("n"), F.col(tokens).alias("t")).where(F.size("t") > 0))
+    t = cut(nodes.groupBy("t").agg(F.min("n").alias("n"), F.max("n").alias("last")))
+    each = t.select("n", "last", "t", F.explode(F.array_distinct("t")).alias("x"))
+    common = each.groupBy("x").agg(F.count("*").alias("c"))
     rank = F.row_number().over(Window.partitionBy("n").orderBy("c", "x"))
-    probes = each.join(common, "k").withColumn("r", rank).where(F.col("r") <= F.size("t") - F.ceil(least * F.size("t")) + 1)
+    probes = cut(each.join(common, "x").withColumn("r", rank).where(F.col("r") <= F.size("t") - F.ceil(least * F.size("t")) + 1))
+
+    def starts(rows: DataFrame) -> DataFrame:
+        return rows.select("n", "last", "t", F.explode(F.transform(F.sequence(F.lit(1), F.length("x")), lambda k: F.left("x", k))).alias("x"))
 
-    def keyed(rows: DataFrame) -> DataFrame:
-        shorter = F.transform(F.filter(F.array(F.lit(1), F.lit(2)), lambda k: k < F.length("x")), lambda k: F.struct(F.left("x", k).alias("k"), F.lit(False).alias("whole")))
-        return rows.select("n", "t", F.inline(F.concat(F.array(F.struct(F.col("k"), F.lit(True).alias("whole"))), shorter)))
+    def meet(l: DataFrame, r: DataFrame) -> DataFrame:
+        l, r = l.alias("l"), r.alias("r")
+        met = l.join(r, (F.col("l.x") == F.col("r.x")) & (F.col("l.n") != F.col("r.n")) & (F.col("l.n") < F.col("r.last")))
+        return met.select(F.col("l.n").alias("a"), F.col("r.n").alias("b"), F.col("l.t").alias("lt"), F.col("r.t").alias("rt"))
 
-    l, r = keyed(probes).alias("l"), keyed(each).alias("r")
-    met = l.join(r, (F.col("l.k") == F.col("r.k")) & (F.col("l.n") < F.col("r.n")) & (F.col("l.whole") | F.col("r.whole"))).select(F.col("l.n").alias("a"), F.col("r.n").alias("b"), F.col("l.t").alias("lt"), F.col("r.t").alias("rt")).dropDuplicates(["a", "b"])
+    met = meet(starts(probes), each).union(meet(probes, starts(each))).dropDuplicates(["a", "b"])
     shared = F.size(F.filter("lt", lambda x: F.exists("rt", lambda y: x.startswith(y) | y.startswith(x))))
-    return met.where(shared / F.size(F.array_union("lt", "rt")) >= least).select("a", "b")
+    copies = looked_up(nodes, t.select("t", F.col("n").alias("a")), "t").where("a <> n").select("a", F.col("n").alias("b"))
+    return met.where(shared / F.size(F.array_union("lt", "rt")) >= least).select("a", "b").union(copies)
+
+
+def most_shared(subjects: DataFrame, subject: str, token: str, weight: str, others: DataFrame, other: str, name: str) -> DataFrame:
+    """(subject, other, shared): for each subject the other with which it shares most; tokens are shared if one starts the other.
+
+    subjects: a row for each token, with its weight; others: a row for each token. Tokens meet by
+    equality, of a whole token with a prefix of another; a pair counts once however it meets.
+    """
+    words = cut(subjects.select(F.col(token).alias("t")).distinct())
+    prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.left(c, k)))
+    held = cut(others.select(F.col(other), F.col(name).alias("o")).distinct())
+    shorter = words.select("t", prefixes("t").alias("o")).join(held, "o").select("t", other)
+    longer = held.select(other, prefixes("o").alias("t")).join(words, "t").select("t", other)
+    met = shorter.union(longer).distinct()
+    sums = subjects.join(met, subjects[token] == met["t"]).groupBy(subject, other).agg(F.sum(weight).alias("shared"))
+    return sums.groupBy(subject).agg(F.min_by(F.struct(other, "shared"), F.struct(-F.col("shared"), other)).alias("b")).select(subject, f"b.{other}", "b.shared")
+
+
+def dense_numbers(df: DataFrame, order: Sequence[Column | str], out: str = "number") -> DataFrame:
+    """df with its rows' places in a total order, from 1; keys are ascending (numbers are negated to sort downwards), nulls first.
+
+    Rows are dealt into ranges of the order and counted in each range; only the ranges' counts, as
+    many as there are partitions, meet in one task.
+    """
+    keys = [f"_o{i}" for i in range(len(order))]
+    plain = df.select("*", *[(F.col(c) if isinstance(c, str) else c).alias(k) for c, k in zip(order, keys, strict=True)])
+    ranged = cut(plain.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()))
+    own = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*keys)))
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a partition
+    return own.join(F.broadcast(before), "_p").withColumn(out, (F.col("_b") + F.col("_n")).cast("long")).drop("_p", "_n", "_b", *keys)
 
 
 def dense_ids(df: DataFrame, order: Sequence[Column | str], prefix: str, width: int, out: str = "id") -> DataFrame:
-    """df with ids prefix-0001.. in a total order; for results that are small (findings, events of a log)."""
-    n = F.row_number().over(Window.orderBy(*order))
-    text = n.cast("string")
-    return df.withColumn(out, F.concat(F.lit(prefix), F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)))
+    """df with ids prefix-0001.. in a total order."""
+    text = F.col("_number").cast("string")
+    return dense_numbers(df, order, "_number").withColumn(out, F.concat(F.lit(prefix), F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text))).drop("_number")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.model import AUDIT_EVENTS
 from veritab.operators import relational
+from veritab.operators.score import REVIEW_THRESHOLD
 
 #: Event types and what a reviewer may decide.
 EVENTS = ("DOCUMENT_INGESTED", "EXTRACTION_COMPLETED", "ANALYSIS_COMPLETED", "FINDING_REVIEWED", "REVIEW_SIGNED_OFF", "RECORD_EXPORTED")
@@ -21,9 +23,17 @@ def numbered(events: DataFrame, order: list[str]) -> DataFrame:
     return relational.dense_ids(events, order, "AE-", 5)
 
 
+def number_of(event_id: Column) -> Column:
+    """The number in an event's id: ids are text, and AE-100000 comes after AE-99999."""
+    return F.substring(event_id, 4, 20).cast("long")
+
+
 @dataclass
 class AuditLog:
-    """Events below path, one append after the other by a single writer."""
+    """Events below path, each a file that is named by its number and created only if there is none.
+
+    So two writers never take one number, and the next number is known from the names alone.
+    """
 
     spark: SparkSession
     path: str
@@ -32,7 +42,7 @@ class AuditLog:
 
     def events(self) -> DataFrame:
         try:
-            return self.spark.read.schema(AUDIT_EVENTS).parquet(self.path)
+            return self.spark.read.schema(AUDIT_EVENTS).json(self.path)
         except Exception as e:  # nothing was written yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -41,10 +51,34 @@ class AuditLog:
     def append(self, event_type: str, detail: str, timestamp: str, actor: str | None = None) -> str:
         if event_type not in EVENTS:
             raise ValueError(f"unknown event type {event_type}")
-        last = self.events().agg(F.max(F.substring("id", 4, 20).cast("long"))).first()[0] or 0
-        event = f"AE-{last + 1:05d}"
-        self.spark.createDataFrame([(event, timestamp, actor or self.actor, event_type, detail, self.ruleset)], AUDIT_EVENTS).coalesce(1).write.mode("append").parquet(self.path)
-        return event
+        number = self._last() + 1
+        while True:
+            event = {"id": f"AE-{number:05d}", "timestamp": timestamp, "actor": actor or self.actor, "eventType": event_type, "detail": detail, "rulesetVersion": self.ruleset}
+            if self._created(number, json.dumps(event, ensure_ascii=False) + "\n"):
+                return event["id"]
+            number += 1
+
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _last(self) -> int:
+        path, fs = self._files()
+        return max((int(x.getPath().getName()[:12]) for x in fs.listStatus(path)), default=0) if fs.exists(path) else 0
+
+    def _created(self, number: int, line: str) -> bool:
+        """Whether the event's file was made here; another writer may have made it first."""
+        path, fs = self._files()
+        own = self.spark._jvm.org.apache.hadoop.fs.Path(path, f"{number:012d}.json")
+        try:
+            out = fs.create(own, False)
+        except Exception:
+            if not fs.exists(own):
+                raise
+            return False
+        out.write(bytearray(line.encode()))
+        out.close()
+        return True
 
     def dispose(self, finding: str, status: str, reviewer: str, comment: str, timestamp: str) -> str:
         """A reviewer's decision on a finding; the last one of a finding counts, all stay in the log."""
@@ -60,7 +94,7 @@ class AuditLog:
         """The last decision on each finding."""
         parts = F.split("detail", r"\|", 3)
         rows = self.events().where("eventType = 'FINDING_REVIEWED'").select(F.get(parts, F.lit(0)).alias("findingId"), F.get(parts, F.lit(1)).alias("status"), F.col("actor").alias("reviewer"), F.get(parts, F.lit(2)).alias("comment"), "timestamp", "id")
-        return rows.groupBy("findingId").agg(*[F.max_by(c, "id").alias(c) for c in ("status", "reviewer", "comment", "timestamp")])
+        return rows.groupBy("findingId").agg(*[F.max_by(c, number_of(F.col("id"))).alias(c) for c in ("status", "reviewer", "comment", "timestamp")])
 
     def sign_off(self, findings: DataFrame, reviewer: str, timestamp: str, attested: bool = True) -> str:
         if not (attested and reviewer.strip()):
@@ -81,6 +115,11 @@ def reviewed(findings: DataFrame, dispositions: DataFrame) -> DataFrame:
     return findings.drop("disposition").join(d, "id", "left")
 
 
+def below_threshold(confidence: Column) -> Column:
+    """Whether a finding is so unsure that a report marks it; it is listed all the same."""
+    return confidence < REVIEW_THRESHOLD
+
+
 def open_count(findings: DataFrame, dispositions: DataFrame) -> int:
     return findings.join(dispositions, findings.id == dispositions.findingId, "left_anti").count()
 
@@ -100,4 +139,4 @@ def filtered(findings: DataFrame, severity: str | None = None, category: str | N
 
 
 def newest(events: DataFrame, event_type: str | None = None) -> DataFrame:
-    return (events.where(F.col("eventType") == event_type) if event_type else events).orderBy(F.desc("id"))
+    return (events.where(F.col("eventType") == event_type) if event_type else events).orderBy(F.desc(number_of(F.col("id"))))

@@ -9,12 +9,20 @@ from veritab.functions.scalars import clamp, fixed, half_up
 
 #: Severities of concepts, of concept prefixes in order, and of categories.
 BY_CONCEPT = {
-    "CRITICAL": "sample_size.planned sample_size.planned_per_arm sample_size.randomised sample_size.treated sample_size.per_protocol sample_size.evaluable_per_arm stat.alpha "
-    "equivalence.ci_level.ratio equivalence.ci_level.difference definition.teae_shape dose.regimen",
-    "MAJOR": "stat.power stat.default_ci_level design.dropout_rate inclusion.ecog inclusion.creatinine_clearance inclusion.lvef_baseline inclusion.min_age reporting.ecog_scale "
-    "population.pk_set.cycle_requirement population.pps_site_exclusion safety.followup_window safety.ae_grading_scale coding.meddra_version schedule.cycle_interval "
-    "definition.category_set_integrity derivation.dose_intensity_shape derivation.dataset_consistency practice.statistical_test_on_safety_data",
-    "MINOR": "design.equivalence_margin schedule.visit_window derivation.code_hygiene",
+    "CRITICAL": [
+        "sample_size.planned", "sample_size.planned_per_arm", "sample_size.randomised", "sample_size.treated", "sample_size.per_protocol",
+        "sample_size.evaluable_per_arm", "stat.alpha", "equivalence.ci_level.ratio", "equivalence.ci_level.difference", "definition.teae_shape",
+        "dose.regimen",
+    ],
+    "MAJOR": [
+        "stat.power", "stat.default_ci_level", "design.dropout_rate", "inclusion.ecog", "inclusion.creatinine_clearance", "inclusion.lvef_baseline",
+        "inclusion.min_age", "reporting.ecog_scale", "population.pk_set.cycle_requirement", "population.pps_site_exclusion", "safety.followup_window",
+        "safety.ae_grading_scale", "coding.meddra_version", "schedule.cycle_interval", "definition.category_set_integrity",
+        "derivation.dose_intensity_shape", "derivation.dataset_consistency", "practice.statistical_test_on_safety_data",
+    ],
+    "MINOR": [
+        "design.equivalence_margin", "schedule.visit_window", "derivation.code_hygiene",
+    ],
 }
 BY_PREFIX = [
     ("derivation.identifier.", "CRITICAL"), ("acronym.", "MAJOR"), ("standard.acronym.", "MAJOR"), ("crossref.", "MAJOR"),
@@ -40,14 +48,14 @@ BASE_DETAIL = {
 }
 
 
-def lookup(key: Column, prefixes: list[tuple[str, str]], exact: dict[str, str], default: Column) -> Column:
+def lookup(key: Column, prefixes: list[tuple[str, str]], exact: dict[str, list[str]], default: Column) -> Column:
     """The exact key's value, else that of the first prefix, else default."""
     out = default
     for prefix, value in reversed(prefixes):
         out = F.when(key.startswith(prefix), value).otherwise(out)
     of = {}
     for value, keys in exact.items():
-        for k in keys.split():
+        for k in keys:
             of[k] = value
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), key), out) if of else out
 

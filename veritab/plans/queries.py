@@ -102,7 +102,7 @@ def policy_practice(spark, sf):
 
 @query("""SELECT p_partkey, CASE WHEN p_size = 50 THEN 'MINOR' WHEN p_brand = 'Brand#11' THEN 'CRITICAL' WHEN starts_with(p_brand, 'Brand#1') THEN 'MAJOR' WHEN starts_with(p_brand, 'Brand#') THEN 'MINOR' ELSE 'CRITICAL' END AS severity FROM part""")
 def severity_lookup(spark, sf):
-    brand = score.lookup(F.col("p_brand"), [("Brand#1", "MAJOR"), ("Brand#", "MINOR")], {"CRITICAL": "Brand#11"}, F.lit("CRITICAL"))
+    brand = score.lookup(F.col("p_brand"), [("Brand#1", "MAJOR"), ("Brand#", "MINOR")], {"CRITICAL": ["Brand#11"]}, F.lit("CRITICAL"))
     return t(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") == 50, "MINOR").otherwise(brand).alias("severity"))
 
 
@@ -127,7 +127,7 @@ def confidence(spark, sf):
 @query("SELECT 'F-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS id, p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY CASE p_type WHEN 'STANDARD' THEN 0 WHEN 'PROMO' THEN 1 ELSE 2 END, p_retailprice DESC, p_name, p_partkey) AS n FROM part)")
 def finding_order(spark, sf):
     rank = F.when(F.col("p_type") == "STANDARD", 0).when(F.col("p_type") == "PROMO", 1).otherwise(2)
-    return relational.dense_ids(t(spark, sf, "part").select("p_partkey", "p_type", "p_retailprice", "p_name"), [rank, F.desc("p_retailprice"), "p_name", "p_partkey"], "F-", 3).select("id", "p_partkey")
+    return relational.dense_ids(t(spark, sf, "part").select("p_partkey", "p_type", "p_retailprice", "p_name"), [rank, -F.col("p_retailprice"), "p_name", "p_partkey"], "F-", 3).select("id", "p_partkey")
 
 
 @query("SELECT l_suppkey, l_returnflag, l_linestatus, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_returnflag, l_linestatus ORDER BY l_orderkey, l_linenumber) = 1")
@@ -199,11 +199,13 @@ def modal_offset(spark, sf):
 
 @query("""WITH RECURSIVE r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS k FROM events WHERE value IS NOT NULL),
 b AS (SELECT user_id, k, value AS anchor, 1 AS n FROM r WHERE k = 1 UNION ALL
-  SELECT r.user_id, r.k, CASE WHEN r.value - b.anchor > 2.2 THEN r.value ELSE b.anchor END, CASE WHEN r.value - b.anchor > 2.2 THEN b.n + 1 ELSE b.n END FROM b JOIN r ON r.user_id = b.user_id AND r.k = b.k + 1)
+  SELECT r.user_id, r.k, CASE WHEN r.value > b.anchor + 2.2e0 THEN r.value ELSE b.anchor END, CASE WHEN r.value > b.anchor + 2.2e0 THEN b.n + 1 ELSE b.n END FROM b JOIN r ON r.user_id = b.user_id AND r.k = b.k + 1)
 SELECT user_id, n AS line, count(*) AS items FROM b GROUP BY ALL""")
 def line_assembly(spark, sf):
-    rows = t(spark, sf, "events").where("value IS NOT NULL").groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("v"))
-    return rows.select("user_id", F.explode(relational.anchored(F.col("v"), 2.2)).alias("line")).groupBy("user_id", "line").agg(F.count("*").alias("items"))
+    counts = t(spark, sf, "events").where("value IS NOT NULL").groupBy("user_id", "value").agg(F.count("*").alias("items"))
+    counts = relational.cut(counts)
+    lines = relational.anchored_rows(counts, ["user_id"], "value", 2.2, "line")
+    return counts.join(lines, ["user_id", "value"]).groupBy("user_id", "line").agg(F.sum("items").alias("items"))
 
 
 ROW = r"^([^ ]{1,8}) +([^ ].{3,})$"
@@ -257,17 +259,24 @@ def identifier_root(spark, sf):
     return t(spark, sf, "part").select("p_partkey", S.identifier_root(F.col("p_name")).alias("root"))
 
 
-@query(f"""WITH d AS (SELECT source, list_distinct(list(CASE {SUFFIXES} ELSE w END)) AS tokens FROM (SELECT source, unnest(string_split_regex(lower(left(text, 60)), '[^a-z0-9]+')) AS w FROM documents WHERE lang = 'en') WHERE w <> '' AND w NOT IN ({STOPS}) GROUP BY source),
-i AS (SELECT item_id, unnest(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({STOPS}))) AS w FROM benchmark),
-k AS (SELECT item_id, CASE {SUFFIXES} ELSE w END AS token FROM i),
-s AS (SELECT item_id, source, count(*) AS shared FROM k, d WHERE len(list_filter(tokens, lambda o: starts_with(o, token) OR starts_with(token, o))) > 0 GROUP BY ALL)
-SELECT item_id, source, shared FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, source) = 1""")
+LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"""WITH dw AS (SELECT DISTINCT source, w FROM (SELECT source, unnest(string_split_regex({LOWER.format('text')}, '[^a-z0-9]+')) AS w FROM documents) WHERE w <> '' AND w NOT IN ({STOPS})),
+d AS (SELECT DISTINCT source, CASE {SUFFIXES} ELSE w END AS o FROM dw),
+i AS (SELECT item_id, unnest(string_split_regex({LOWER.format('text')}, '[^a-z0-9]+')) AS w FROM benchmark), k AS (SELECT item_id, CASE {SUFFIXES} ELSE w END AS token, count(*) AS n FROM i WHERE w <> '' AND w NOT IN ({STOPS}) GROUP BY ALL),
+v AS (SELECT DISTINCT token FROM k),
+starts AS (SELECT token, left(token, j) AS x FROM (SELECT token, unnest(generate_series(1, length(token))) AS j FROM v)),
+ends AS (SELECT source, left(o, j) AS x FROM (SELECT source, o, unnest(generate_series(1, length(o))) AS j FROM d)),
+met AS (SELECT token, source FROM starts JOIN d ON x = o UNION SELECT token, source FROM v JOIN ends ON x = token),
+s AS (SELECT item_id, source, sum(n) AS shared FROM k JOIN met USING (token) GROUP BY ALL)
+SELECT item_id, source, CAST(shared AS BIGINT) AS shared FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, source) = 1""")
 def crossref_argmax(spark, sf):
-    tokens = t(spark, sf, "documents").where("lang = 'en'").select("source", F.explode(S.content_tokens(F.left("text", F.lit(60)))).alias("o")).groupBy("source").agg(F.collect_set("o").alias("tokens"))
+    """The source whose texts share most with an item, over whole texts: each token of the item that prefix-matches one of the source's."""
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    items = t(spark, sf, "benchmark").select("item_id", S.content_tokens(low).alias("subject"))
-    met = items.crossJoin(F.broadcast(tokens)).withColumn("shared", S.overlap(F.col("subject"), F.col("tokens")).cast("long")).where("shared > 0")  # a row a source: a fixed few
-    return met.groupBy("item_id").agg(F.min_by(F.struct("source", "shared"), F.struct(-F.col("shared"), "source")).alias("b")).select("item_id", "b.source", "b.shared")
+    tokens = t(spark, sf, "documents").select("source", F.explode(S.content_tokens(low)).alias("o")).distinct()
+    items = t(spark, sf, "benchmark").select("item_id", F.explode(S.content_tokens(low)).alias("token"))
+    return relational.most_shared(items.groupBy("item_id", "token").agg(F.count("*").alias("n")), "item_id", "token", "n", tokens, "source", "o")
 
 
 HOST = r"://([a-z0-9.-]+)"

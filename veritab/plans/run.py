@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from veritab.model import ABBREVIATIONS, SECTIONS
 from veritab.operators import arithmetic, compare, contextual, ingest
 from veritab.operators.catalogue import CONTEXTUAL, ORDER, RULES
+from veritab.operators.review import AuditLog
 from veritab.operators.rules import Rule, entities_of, extract
 from veritab.plans.scratch import stored
 
@@ -58,32 +59,67 @@ class Result:
     timestamp: str = ""
 
 
-def analyse(paragraphs: DataFrame, sections: DataFrame | None = None, abbreviations: DataFrame | None = None, documents: DataFrame | None = None, extractor: Extractor | None = None, include_practice: bool = True, on_stage: Callable[[str, str], None] | None = None, timestamp: str = "") -> Result:
-    """Facts, recomputations and findings of indexed paragraphs. Each step is a table in the shared folder: computed once, and planned alone."""
+#: The stages of a run, in order.
+STAGES = ("INGEST", "DEBOILERPLATE", "STRUCTURE", "EXTRACT", "COMPARE", "SCORE")
+Stage = Callable[[str, dict[str, int]], None]
+
+
+def analyse(
+    paragraphs: DataFrame, sections: DataFrame | None = None, abbreviations: DataFrame | None = None, documents: DataFrame | None = None, extractor: Extractor | None = None, include_practice: bool = True,
+    on_stage: Stage | None = None, timestamp: str = "", log: AuditLog | None = None, pairs: Sequence[compare.RelatedPair] = compare.PAIRS, coverage: Sequence[compare.Coverage] = compare.COVERAGE,
+) -> Result:
+    """Facts, recomputations and findings of indexed paragraphs. Each step is a table in the shared folder: computed once, and planned alone.
+
+    on_stage gets each stage's name and counters; log gets the run's events.
+    """
     spark: SparkSession = paragraphs.sparkSession
-    say = on_stage or (lambda _stage, _detail: None)
+    say = on_stage or (lambda _stage, _counters: None)
     sections = spark.createDataFrame([], SECTIONS) if sections is None else sections
     abbreviations = spark.createDataFrame([], ABBREVIATIONS) if abbreviations is None else abbreviations
     documents = paragraphs.select("documentId", "documentType").distinct() if documents is None else documents
     entities = stored([(extractor or RuleExtractor()).extract(paragraphs, sections, abbreviations)], "facts")
-    say("extract", f"{entities.count()} facts")
+    found = entities.agg(F.count("*").alias("entities"), F.count_distinct("conceptKey").alias("concepts")).first().asDict()
+    if log:
+        log.append("EXTRACTION_COMPLETED", f"{found['entities']} facts of {found['concepts']} concepts from {paragraphs.count()} paragraphs", timestamp)
+    say("EXTRACT", found)
     checks = stored([arithmetic.checks_of(entities, paragraphs)], "checks")
-    say("recompute", f"{checks.count()} recomputations")
-    evidence = stored(compare.all_evidence(entities, checks, documents, include_practice), "evidence")
+    done = checks.agg(F.count("*").alias("checks"), F.count_if(F.col("outcome") == "CONFIRMED").alias("confirmed")).first().asDict()
+    say("COMPARE", done)
+    evidence = stored(compare.all_evidence(entities, checks, documents, include_practice, pairs, coverage), "evidence")
     findings = stored([compare.findings_of(evidence)], "findings")
-    say("compare", f"{findings.count()} findings")
+    scored = {"findings": findings.count(), "conceptsCompared": compare.concepts_compared(entities, checks, len(pairs) + len(coverage)).first()[0]}
+    if log:
+        log.append("ANALYSIS_COMPLETED", f"{scored['findings']} findings from {scored['conceptsCompared']} concepts, declared checks and recomputations", timestamp)
+    say("SCORE", scored)
     return Result(documents, paragraphs, sections, abbreviations, entities, checks, findings, timestamp=timestamp)
 
 
 def run_pipeline(items: DataFrame, descriptors: DataFrame, pages: DataFrame | None = None, **options) -> Result:
     """From positioned items to findings. options as for analyse()."""
-    say = options.get("on_stage") or (lambda _stage, _detail: None)
+    say = options.get("on_stage") or (lambda _stage, _counters: None)
     tables = ingest.ingest(items, descriptors, pages)
     kept = {name: stored([tables[name]], name) for name in ("paragraphs", "sections", "abbreviations", "documents")}
-    say("ingest", f"{kept['paragraphs'].count()} paragraphs")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    read = kept["documents"].agg(F.count("*").alias("documents"), total("pdfPageCount").alias("pages"), total("rotatedItemsDropped").alias("rotated"), total(F.size(F.coalesce("boilerplate", F.array().cast("array<string>")))).alias("repeated"), total("linesRemoved").alias("lines")).first()
+    say("INGEST", {"documents": read["documents"], "pages": read["pages"]})
+    say("DEBOILERPLATE", {"rotatedItems": read["rotated"], "repeatedLines": read["repeated"], "linesRemoved": read["lines"]})
+    say("STRUCTURE", {"sections": kept["sections"].count(), "paragraphs": kept["paragraphs"].count()})
+    if options.get("log"):
+        events = ingested(kept["documents"], kept["sections"], kept["paragraphs"])
+        for r in events.orderBy("docSeq").toLocalIterator():  # a row a document, one at a time
+            options["log"].append("DOCUMENT_INGESTED", r["detail"], options.get("timestamp", ""))
     return analyse(**kept, **options)
 
 
+def ingested(documents: DataFrame, sections: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(docSeq, documentId, detail): what the log says of each document that was read."""
+    count = lambda df, name: df.groupBy("documentId").agg(F.count("*").alias(name))
+    d = documents.join(count(sections, "_s"), "documentId", "left").join(count(paragraphs, "_p"), "documentId", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    detail = F.concat("documentType", F.lit(" "), "version", F.lit(" ("), "fileName", F.lit("): "), n("pdfPageCount"), F.lit(" pages, "), n("printedPageCount"), F.lit(" printed, offset "), n("pageOffset"), F.when(F.col("consistent"), "").otherwise(" (not the same on all pages)"), F.lit("; "), n("_s"), F.lit(" sections, "), n("_p"), F.lit(" paragraphs"))
+    return d.select("docSeq", "documentId", detail.alias("detail"))
+
+
 class Runner:
     """One run at a time: IDLE, RUNNING, then READY with a result or FAILED with an error."""
 

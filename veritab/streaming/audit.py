@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from veritab.model import AUDIT_EVENTS, PARAGRAPHS
 
 
+#: Parts of each batch of the store, by hashes of concepts.
+PARTS = 64
+
+
 def audit_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(AUDIT_EVENTS).parquet(path)
+    return spark.readStream.schema(AUDIT_EVENTS).json(path)
 
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -25,14 +29,20 @@ def paragraph_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def on_new_paragraphs(stream: DataFrame, store: str, checkpoint: str, analyse: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None]):
-    """Facts of new paragraphs go to store, once each; concepts that they touch are compared again and given to sink."""
+    """Facts of new paragraphs go to store, once each; concepts that they touch are compared again and given to sink.
+
+    The store is partitioned by batch and by a hash of the concept, so a batch reads the parts of
+    the concepts that it touches; a batch that runs again replaces itself.
+    """
     spark = stream.sparkSession
 
     def batch(rows: DataFrame, number: int) -> None:
-        facts = analyse(rows)
-        facts.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{store}/batch={number}")  # a batch that runs again replaces itself
-        everything = spark.read.parquet(store)
-        touched = everything.where(F.col("batch") == number).select("conceptKey").distinct()
-        sink(everything.join(touched, "conceptKey", "left_semi"), number)
+        facts = analyse(rows).withColumn("part", F.pmod(F.xxhash64("conceptKey"), F.lit(PARTS)).cast("int"))
+        facts.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{store}/batch={number}")
+        own = spark.read.option("basePath", store).parquet(f"{store}/batch={number}")
+        touched = own.select("conceptKey", "part").distinct()
+        parts = [r["part"] for r in touched.select("part").distinct().collect()]  # PARTS at most
+        everything = spark.read.parquet(store).where(F.col("part").isin(parts))
+        sink(everything.join(touched.select("conceptKey"), "conceptKey", "left_semi").drop("part"), number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
