@@ -228,7 +228,7 @@ def snippet(text: Column, index: Column, length: Column, reach: int = 120) -> Co
     low, high = F.greatest(index - reach, F.lit(0)), F.least(index + length + reach, n)
     body = F.substr(text, low + 1, high - low)
     left = F.when(low > 0, F.concat(F.lit("… "), F.regexp_replace(body, r"^\S*\s+", ""))).otherwise(body)
-    both = F.when(high < n, F.concat(F.regexp_replace(left, r"\s+\S*$", ""), F.lit(" …"))).otherwise(left)
+    both = F.when(high < n, F.concat(F.regexp_replace(left, r"\s+\S*\z", ""), F.lit(" …"))).otherwise(left)
     return F.trim(F.regexp_replace(both, WS + "+", " "))
 
 

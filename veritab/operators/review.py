@@ -92,9 +92,7 @@ class AuditLog:
 
     def dispositions(self) -> DataFrame:
         """The last decision on each finding."""
-        parts = F.split("detail", r"\|", 3)
-        rows = self.events().where("eventType = 'FINDING_REVIEWED'").select(F.get(parts, F.lit(0)).alias("findingId"), F.get(parts, F.lit(1)).alias("status"), F.col("actor").alias("reviewer"), F.get(parts, F.lit(2)).alias("comment"), "timestamp", "id")
-        return rows.groupBy("findingId").agg(*[F.max_by(c, number_of(F.col("id"))).alias(c) for c in ("status", "reviewer", "comment", "timestamp")])
+        return decisions(self.events())
 
     def sign_off(self, findings: DataFrame, reviewer: str, timestamp: str, attested: bool = True) -> str:
         if not (attested and reviewer.strip()):
@@ -109,6 +107,13 @@ class AuditLog:
         return self.append("RECORD_EXPORTED", kind, timestamp)
 
 
+def decisions(events: DataFrame) -> DataFrame:
+    """(findingId, status, reviewer, comment, timestamp): the last decision on each finding."""
+    parts = F.split("detail", r"\|", 3)
+    rows = events.where("eventType = 'FINDING_REVIEWED'").select(F.get(parts, F.lit(0)).alias("findingId"), F.get(parts, F.lit(1)).alias("status"), F.col("actor").alias("reviewer"), F.get(parts, F.lit(2)).alias("comment"), "timestamp", "id")
+    return rows.groupBy("findingId").agg(*[F.max_by(c, number_of(F.col("id"))).alias(c) for c in ("status", "reviewer", "comment", "timestamp")])
+
+
 def reviewed(findings: DataFrame, dispositions: DataFrame) -> DataFrame:
     """findings with their dispositions; null where a finding is open."""
     d = dispositions.select(F.col("findingId").alias("id"), F.struct("status", "reviewer", "comment", "timestamp").alias("disposition"))
@@ -120,8 +125,12 @@ def below_threshold(confidence: Column) -> Column:
     return confidence < REVIEW_THRESHOLD
 
 
+def open_findings(findings: DataFrame, dispositions: DataFrame) -> DataFrame:
+    return findings.join(dispositions, findings.id == dispositions.findingId, "left_anti")
+
+
 def open_count(findings: DataFrame, dispositions: DataFrame) -> int:
-    return findings.join(dispositions, findings.id == dispositions.findingId, "left_anti").count()
+    return open_findings(findings, dispositions).count()
 
 
 def filtered(findings: DataFrame, severity: str | None = None, category: str | None = None, document: str | None = None, status: str | None = None) -> DataFrame:

@@ -77,12 +77,12 @@ def expected_findings(spark, sf):
     return rows.groupBy("conceptKey", F.col("normalizedValue").alias("value")).agg(F.count("*").alias("n"), F.min_by("title", "entitySeq").alias("title"), F.min_by("description", "entitySeq").alias("description"), F.first("fixedSeverity").alias("severity"))
 
 
-@query("""WITH f AS (SELECT 'assessment.a' || (o_custkey % 700) AS concept, o_orderkey AS seq, CASE WHEN o_orderkey % 2 = 0 THEN 'PROTOCOL' ELSE 'CRF' END AS type, o_orderpriority AS raw FROM orders)
+@query("""WITH f AS (SELECT 'assessment.a' || (o_orderkey // 3) AS concept, o_orderkey AS seq, CASE WHEN o_custkey % 2 = 0 THEN 'PROTOCOL' ELSE 'CRF' END AS type, o_orderpriority AS raw FROM orders)
 SELECT concept AS "conceptKey", count(*) AS n, 'Assessment — required by PROTOCOL, absent from CRF' AS title, arg_min('PROTOCOL v1 states "' || raw || '"; CRF has no counterpart.', seq) AS description, 'MAJOR' AS severity FROM f WHERE type = 'PROTOCOL' AND concept NOT IN (SELECT concept FROM f WHERE type = 'CRF') GROUP BY 1""")
 def coverage_findings(spark, sf):
     """What a protocol requires and a form lacks."""
-    doc_type = F.when(F.col("o_orderkey") % 2 == 0, "PROTOCOL").otherwise("CRF")
-    facts = fact_rows(t(spark, sf, "orders"), seq=F.col("o_orderkey"), concept=F.expr("concat('assessment.a', o_custkey % 700)"), category=F.lit("COVERAGE"), value=F.lit("REQUIRED"), document=doc_type, doc_type=doc_type, raw=F.col("o_orderpriority"))
+    doc_type = F.when(F.col("o_custkey") % 2 == 0, "PROTOCOL").otherwise("CRF")
+    facts = fact_rows(t(spark, sf, "orders"), seq=F.col("o_orderkey"), concept=F.expr("concat('assessment.a', o_orderkey DIV 3)"), category=F.lit("COVERAGE"), value=F.lit("REQUIRED"), document=doc_type, doc_type=doc_type, raw=F.col("o_orderpriority"))
     rows = compare.coverage_evidence(facts, facts.select("documentType").distinct())
     return rows.groupBy("conceptKey").agg(F.count("*").alias("n"), F.first("title").alias("title"), F.min_by("description", "entitySeq").alias("description"), F.first("fixedSeverity").alias("severity"))
 
