@@ -41,6 +41,15 @@ def test_documents(tables):
     assert [(r.acronym, r.expansion) for r in tables["abbreviations"].orderBy("abbrSeq").collect()] == [("AE", "Adverse event"), ("CI", "Confidence interval")]
 
 
+def test_page_map_of_a_generated_corpus(spark):
+    """Documents with one and two front leaves: what ingest reads off their pages is what the generator wrote."""
+    body = tuple(Block("para", f"Paragraph number {i} is long enough to fill a line of the page and some of the next one as well.") for i in range(60))
+    made = fixtures.corpus(spark, [fixtures.Document("P", "PROTOCOL", "A protocol", (Block("heading", "1 One"), *body), leaves=2), fixtures.Document("S", "SAP", "A plan", (Block("heading", "1 One"), *body[:9]))])
+    tables = ingest.ingest(made["items"], made["descriptors"])
+    got = {(r.documentId, r.documentType, r.version, r.fileName, r.pdfPageCount, r.printedPageCount, r.pageOffset) for r in tables["documents"].collect()}
+    assert got == {tuple(r) for r in made["page_map"].collect()} and len(got) == 2
+
+
 def test_hyphens_and_masks(spark):
     r = spark.range(1).select(ingest.reflowed(F.array(F.lit("treat-"), F.lit("ment is"), F.lit("given"))).alias("a"), ingest.masked(F.lit("Page 12  of 30")).alias("b"), fixtures.sanitized(F.lit("“a” ≥ 5—漢")).alias("c"), readers.document_type(F.lit("x_SAP_v1.pdf")).alias("d")).first()
     assert (r.a, r.b, r.c, r.d) == ("treatment is given", "page # of #", '"a" >= 5-?', "SAP")

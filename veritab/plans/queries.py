@@ -474,19 +474,3 @@ def no_context(spark):
     from veritab.model import ABBREVIATIONS, SECTIONS
 
     return spark.createDataFrame([], SECTIONS), spark.createDataFrame([], ABBREVIATIONS)
-
-
-@query()
-def full_run(spark, sf):
-    """Generated pages of two documents, from positioned items to findings (independent of the tables)."""
-    from veritab.model import DESCRIPTORS, ITEMS
-    from veritab.plans.run import run_pipeline
-    from veritab.sources.fixtures import Block, item_rows
-    from veritab.sources.readers import with_order
-
-    plan = [Block("heading", "1 Design"), Block("para", "A total of 620 subjects will be randomised. Visits may shift ±3 days."), Block("para", "Follow-up ends 30 days after the last dose."), Block("heading", "2 Programs"), Block("code", rows=("proc means data=adsl;", "set advs;", "run;"))]
-    report = [Block("heading", "1 Results"), Block("para", "A total of 655 subjects were randomised. Follow-up ended 28 days after the last dose."), Block("para", "See APPENDIX 1 for details.")]
-    rows = item_rows("PLAN", plan, "Plan header") + item_rows("REPORT", report, "Report header", leaves=2)
-    descriptors = with_order(spark.createDataFrame([("PLAN", "SAP", "plan.pdf", "Plan", "v1.0", "", ""), ("REPORT", "CSR", "report.pdf", "Report", "v1.0", "", "")], DESCRIPTORS))
-    found = run_pipeline(spark.createDataFrame(rows, ITEMS), descriptors).findings
-    return found.select("id", "conceptKey", "severity", "confidence", "scope", "title")

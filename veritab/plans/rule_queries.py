@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions import scalars as S
@@ -240,3 +240,30 @@ def extraction_rules(spark, sf):
     from veritab.plans.run import RuleExtractor
 
     return shown(RuleExtractor([r for r in RULES if r.id not in CONTEXTUAL]).extract(paragraphs(spark, sf), *no_context(spark)))
+
+
+def pages_of_parts(spark, sf):
+    """Parts as pages of documents: (items, descriptors). Ten parts a page, a paragraph each, below a heading, above a footer."""
+    own = paragraphs(spark, sf).select("documentId", "documentType", "paraSeq", "lines", "kind")
+    place = F.row_number().over(Window.partitionBy("documentId").orderBy("paraSeq")) - 1  # a document has some of the parts of a brand
+    own = own.withColumns({"at": place % 10, "pdfPage": F.floor(place / 10).cast("int") + 2})
+
+    def item(seq, text, y, size, font) -> list:
+        return ["documentId", "pdfPage", seq.cast("int").alias("itemSeq"), text.alias("text"), F.lit(68.0).alias("x"), y.cast("double").alias("y"), (F.length(text) * 4.5).alias("width"), F.lit(size).alias("height"), F.lit(0).alias("rotation"), font.alias("fontFamily")]
+
+    lines = own.select("*", F.posexplode("lines").alias("k", "line"))
+    body = lines.select(*item(F.col("paraSeq") * 100 + F.col("k"), F.col("line"), 740 - 66 * F.col("at") - 11 * F.col("k"), 9.5, F.when(F.col("kind") == "CODE", "Courier").otherwise("Times")))
+    page = own.select("documentId", "pdfPage").distinct()
+    head = page.select(*item(F.lit(0), F.concat((F.col("pdfPage") - 1).cast("string"), F.lit(" Part ").cast("string"), F.col("pdfPage").cast("string")), F.lit(770), 10.5, F.lit("Times")))
+    foot = page.select(*item(F.lit(1), F.concat(F.lit("Page "), (F.col("pdfPage") - 1).cast("string"), F.lit(" of 90")), F.lit(52), 7.5, F.lit("Times")))
+    names = own.select("documentId", "documentType").distinct()
+    descriptors = names.select(F.col("documentId").alias("id"), F.col("documentType").alias("type"), F.concat("documentId", F.lit(".pdf")).alias("fileName"), F.col("documentId").alias("title"), F.lit("v1.0").alias("version"), F.lit("").alias("effectiveDate"), F.lit("").alias("author"), (F.row_number().over(Window.orderBy("documentId")) - 1).cast("int").alias("docSeq"))  # a row a document
+    return body.unionByName(head).unionByName(foot), descriptors
+
+
+@query()
+def full_run(spark, sf):
+    """All parts as pages, from positioned items to findings. SQL states its steps one by one, in the other queries."""
+    from veritab.plans.run import run_pipeline
+
+    return run_pipeline(*pages_of_parts(spark, sf)).findings.select("id", "conceptKey", "severity", "confidence", "scope", "title")
