@@ -14,8 +14,11 @@ WS = r"[\s ]"
 WB = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 #: Numbers in words.
-SMALL_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-TENS = {w: 10 * (i + 2) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())}
+SMALL_WORDS = [
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen",
+    "sixteen", "seventeen", "eighteen", "nineteen",
+]
+TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
 #: Spellings of units.
 UNITS = [
     (r"(?i)^(mg|milligram|milligrams)$", "mg"),
@@ -45,7 +48,10 @@ FREQUENCIES = [
     (r"(?i)^(once weekly|weekly|q\.?w\.?)$", "QW"),
 ]
 #: Words without content, and suffixes in the order they are tried.
-STOP_WORDS = "the a an of and or for to in on at by this that these those page ecrf crf data form".split()
+STOP_WORDS = [
+    "the", "a", "an", "of", "and", "or", "for", "to", "in", "on", "at", "by", "this", "that", "these", "those", "page", "ecrf", "crf", "data",
+    "form",
+]
 SUFFIXES = ("ically", "ical", "ivity", "ity", "ive", "ies", "ing", "ed", "al", "ic", "s")
 
 
