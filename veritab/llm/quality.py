@@ -48,7 +48,7 @@ def line_figures(buf: np.ndarray, cuts: np.ndarray):
     breaks = np.flatnonzero(buf == 10)
     begin = np.union1d(np.append(breaks + 1, 0), cuts[:-1])
     begin = begin[begin < len(buf)]
-    end = np.append(begin[1:], len(buf))
+    end = np.append(begin[1:], len(buf))[: len(begin)]  # texts without bytes have no line
     end = end - (buf[end - 1] == 10)
     begin, end = begin[end > begin], end[end > begin]
     n = len(begin)
