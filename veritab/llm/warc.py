@@ -14,8 +14,8 @@ first), else joined.
 
 Defined results. A null html is an empty payload; a null url an empty target. A null page_id is
 written without an id and ranks below every id. Rows that share the largest page_id of a payload
-are all responses. Header lines never hold line breaks (they are replaced by blanks). An empty
-table gives an empty archive.
+are all responses. Header lines never hold line breaks (they are replaced by blanks). A very long
+payload is one record; other columns of pages are not written. An empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -178,8 +178,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     if not nodes.where("open").take(1):
         cut = whole.limit(0)
     else:
-        upto = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-        marked = nodes.join(known.select("file", "at", F.col("at").alias("own")), ["file", "at"], "left").select("file", "at", "open", "own", F.last("own", ignorenulls=True).over(upto).alias("first"))
+        # The record before each piece: of its split, else the last one of the splits before (a row a split is carried on).
+        upto = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+        inside = checkpointed(nodes.join(known.select("file", "at", F.col("at").alias("own")), ["file", "at"], "left").select("file", "split", "at", "open", "own", F.last("own", ignorenulls=True).over(upto).alias("first")))
+        earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+        carried = inside.groupBy("file", "split").agg(F.max("own").alias("own")).select("file", "split", F.last("own", ignorenulls=True).over(earlier).alias("carried"))
+        marked = inside.join(carried, ["file", "split"]).select("file", "at", "open", "own", F.coalesce("first", "carried").alias("first"))
         torn = marked.where("own IS NOT NULL AND open").select("file", "first")
         owned = placed.join(marked.join(torn, ["file", "first"], "left_semi").select("file", "at", "first"), ["file", "at"])
         joined = owned.groupBy("file", "first").agg(F.array_sort(F.collect_list(F.struct("at", "body"))).alias("parts"))
