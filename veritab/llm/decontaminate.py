@@ -8,7 +8,8 @@ window with the words around the prefix word.
 
 Defined results. Null texts have no words. Items with a null id or no words take no part; an
 item_id that repeats stands for all its texts. Document rows are judged one by one, even if a
-doc_id repeats or is null. An empty benchmark hits nothing. Long texts are read whole.
+doc_id repeats or is null; other columns pass through, but for those called like an output. An
+empty benchmark hits nothing, an empty table gives an empty one. Long texts are read whole.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import HOTS, checkpointed, table
 
 WINDOW = 10
 #: A side of a join is broadcast only if its words have this many bytes at most (counted first).
 BROADCAST_BYTES = 16 << 20
+#: Places of an anchor beyond which they are dealt over salts.
+HOT_ROWS = 100_000
 #: What stands between words, in any text and in one without A-Z, and the two alphabets.
 #: (Splitting there is several times faster than extracting runs of all other characters.)
 RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -53,29 +56,37 @@ def windows_of(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]
 
 
 def anchors_of(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(token, at, wid, words, len): the rarest word of each window in the documents, and its place."""
+    """(token, at, n, wid, words, len): the rarest word of each window in the documents, its place, and how often it occurs."""
     vocabulary = checkpointed(windows.select(F.explode("words").alias("token")).distinct())
     known, _ = _sized(vocabulary, F.octet_length("token"))
     tokens = docs.select(F.explode(words_of(F.col("text"))).alias("token"))
     counts = tokens.join(known, "token").groupBy("token").agg(F.count("*").alias("n"))
     counts = checkpointed(vocabulary.join(counts, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n")))
     places = windows.select("wid", F.posexplode("words").alias("at", "token")).join(counts, "token")
-    rarest = places.groupBy("wid").agg(F.min_by(F.struct("token", "at"), F.struct("n", "token", "at")).alias("a"))
-    return checkpointed(rarest.select("wid", "a.token", "a.at").join(windows, "wid"))
+    rarest = places.groupBy("wid").agg(F.min_by(F.struct("token", "at", "n"), F.struct("n", "token", "at")).alias("a"))
+    return checkpointed(rarest.select("wid", "a.token", "a.at", "a.n").join(windows, "wid"))
 
 
 def occurrences(docs: DataFrame, anchors: DataFrame, reach: int) -> DataFrame:
     """(doc_id, h, start, len, wid): every place where a window occurs in a row of docs; start counts from 0."""
-    side, small = _sized(anchors, F.octet_length("token") + F.aggregate("words", F.lit(0), lambda a, w: a + F.octet_length(w) + 8))
+    side, small = _sized(anchors.drop("n"), F.octet_length("token") + F.aggregate("words", F.lit(0), lambda a, w: a + F.octet_length(w) + 8))
     listed = docs.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("all"))
     placed = listed.select("doc_id", "h", "all", F.posexplode("all").alias("p", "token"))
     if small:  # one stage of generated code: "all" is never copied
         near = placed.select("doc_id", "h", "p", "token", F.col("all").alias("near"), F.lit(0).alias("skip"))
+        met = near.join(side, "token")
     else:  # the rows are shuffled: each takes only the words that a window can reach
         skip = F.greatest(F.col("p") - (reach - 1), F.lit(0))
         near = placed.select("doc_id", "h", "p", "token", F.slice("all", skip + 1, 2 * reach - 1).alias("near"), skip.alias("skip"))
+        # Places of frequent anchors are dealt over salts, for which the anchors' windows are repeated.
+        most = anchors.select("token", "n").distinct().agg(F.sum("n")).first()[0] or 0
+        salts = F.ceil(F.col("n") / F.lit(max(HOT_ROWS, most // HOTS))).cast("int")
+        hot = checkpointed(anchors.select("token", salts.alias("salts")).distinct().where("salts > 1"))  # HOTS tokens at most
+        near = near.join(F.broadcast(hot), "token", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "p"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+        side = side.join(F.broadcast(hot), "token", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        met = near.join(side, ["token", "salt"])
     start = F.col("p") - F.col("at")
-    met = near.join(side, "token").where((start >= 0) & (start - F.col("skip") + F.col("len") <= F.size("near")))
+    met = met.where((start >= 0) & (start - F.col("skip") + F.col("len") <= F.size("near")))
     same = F.slice("near", F.greatest(start - F.col("skip") + 1, F.lit(1)), F.col("len")) == F.col("words")
     return met.where(same).select("doc_id", "h", start.alias("start"), "len", "wid")
 
