@@ -11,7 +11,8 @@ bounded size, however full a list is; a part gives each query's best TOP by exac
 Defined results. Vectors that are null, empty, zero or hold null or non-finite components, and
 those of another length than the commonest, take no part; nor do rows without vec_id. Rows of
 one vec_id are one candidate (its best score) and never each other's neighbour; a repeated query
-is answered once. Fewer candidates than TOP give fewer rows; no usable vector, none.
+is answered once, by the least of its vectors in array order. Fewer candidates than TOP give fewer rows; no usable vector, none.
+Other columns are not read. Very long vectors are compared like others.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .common import checkpointed, importable, table, written
 TOP = 20
 #: Rows that centroids and the ratio are fitted on, at most; rows kept for lower bounds; centroids, at most.
 FIT_ROWS, FLOOR_ROWS, CENTROIDS = 20_000, 4096, 4096
-COPIES, EDGE_RATIO, NEIGHBOURS, TARGET = 4, 1.15, 24, 0.98
+COPIES, EDGE_RATIO, NEIGHBOURS, TARGET = 4, 1.15, 24, 0.96
 #: Most vectors and queries of a part.
 PART_VECTORS, PART_QUERIES = 4096, 1024
 
@@ -226,7 +227,9 @@ def neighbours(vectors: DataFrame, is_query, vec: str = "embedding", top: int =
                 at = np.repeat(np.arange(part.num_rows), [len(x) for x in lists])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists), pa.int64()), part.column("vec_id").take(pa.array(at)), part.column("x").take(pa.array(at))], names=["list", "vec_id", "x"])
 
-    def probing(everything: bool):
+    def probing(times: int):
+        """Probes of a query's lists; with times, of the nearest ones, times as many as a query looks at at most (all, in the end)."""
+
         def to_probes(batches):
             m = shared.value
             for b in batches:
@@ -234,11 +237,12 @@ def neighbours(vectors: DataFrame, is_query, vec: str = "embedding", top: int =
                     part = b.slice(i, 256)
                     ids, raw = part.column("vec_id").to_numpy(), _stack(part.column("x"))
                     floor = np.full(len(raw), -np.inf)
-                    if everything:
-                        found = np.tile(np.arange(len(m["c"])), (len(raw), 1))
+                    q = asking(raw, m["scale"], m["longest"])
+                    if times > 1:
+                        found = np.argsort(_square(q, m["c"]), 1, kind="stable")[:, : times * m["width"]]
                         keep = np.ones(found.shape, dtype=bool)
                     else:
-                        found, dist = graph_search(asking(raw, m["scale"], m["longest"]), m["c"], m["graph"], m["width"] + 8)
+                        found, dist = graph_search(q, m["c"], m["graph"], m["width"] + 8)
                         keep = dist <= m["ratio"] * np.maximum(dist[:, :1], m["least"]) + 1e-6
                         # A lower bound of the last score that counts: that of the sample's last one.
                         sample = np.where(m["ids"] == ids[:, None], -np.inf, raw @ m["rows"].T)
@@ -251,8 +255,10 @@ def neighbours(vectors: DataFrame, is_query, vec: str = "embedding", top: int =
 
     postings = written(rows.mapInArrow(to_lists, "list long, vec_id long, x array<double>"), "ann-lists")
 
-    def search(queries: DataFrame, everything: bool) -> DataFrame:
-        probes = written(queries.mapInArrow(probing(everything), "list long, query_id long, x array<double>, floor double"), "ann-probes")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def search(queries: DataFrame, times: int) -> DataFrame:
+        probes = written(queries.repartition(tasks, "vec_id").mapInArrow(probing(times), "list long, query_id long, x array<double>, floor double"), "ann-probes")
         sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / PART_VECTORS).cast("int").alias("nv"))
         sizes = checkpointed(sizes.join(probes.groupBy("list").agg(F.ceil(F.count("*") / PART_QUERIES).cast("int").alias("nq")), "list"))
         parts = F.broadcast(sizes)  # a row a list: CENTROIDS at most
@@ -265,15 +271,24 @@ def neighbours(vectors: DataFrame, is_query, vec: str = "embedding", top: int =
         ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
         return checkpointed(ranked.where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("x").alias("x"))
-    out = search(queries, False)
-    # Queries whose lists held fewer than they should get are searched again, in all lists.
+    queries = written(rows.where(is_query).groupBy("vec_id").agg(F.min("x").alias("x")), "ann-queries")
     most = min(top, rows.select("vec_id").distinct().count() - 1)
-    full = out.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("query_id")
-    short = checkpointed(queries.join(full, queries.vec_id == full.query_id, "left_anti"))
-    if most <= 0 or not short.take(1):
-        return out
-    return out.join(full, "query_id", "left_semi").select(*out.columns).union(search(short, True).select(*out.columns))
+    if most <= 0:
+        return empty
+    # Queries whose lists held fewer than they should get look at ever more lists, all of them in the end.
+    parts, waiting, times = [], queries, 1
+    while True:
+        got = search(waiting, times)
+        full = got.groupBy("query_id").agg(F.count("*").alias("n")).where((F.col("n") >= most) | F.lit(times > 1 and times * shared.value["width"] >= len(shared.value["c"]))).select("query_id")
+        parts.append(got.join(full, "query_id", "left_semi").select(*got.columns))
+        waiting = checkpointed(waiting.join(full, waiting.vec_id == full.query_id, "left_anti"))
+        if (times > 1 and times * shared.value["width"] >= len(shared.value["c"])) or not waiting.take(1):
+            break
+        times *= 4
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
 
 
 def op1_ann(spark, sf_dir: str) -> DataFrame:
