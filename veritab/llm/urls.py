@@ -10,7 +10,8 @@ before they are shuffled; hosts, links and ranks stay distributed.
 Defined results. A null url, or one without "://", has an empty host and path, takes no part in
 the graph and is allowed unless a rule fits. Links are absolute href values; links within a host
 count for nothing. Mass of hosts without links ends there. Rows are judged one by one, even if
-page_id repeats or is null. A null html has no links. Rules of equal length rank by their text.
+page_id repeats or is null; other columns pass through, but for html and those called like an output.
+A very long html is read whole; an empty table gives an empty one. A null html has no links. Rules of equal length rank by their text.
 """
 
 from __future__ import annotations
