@@ -29,16 +29,13 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir as the session has it.
-
-    Only where it is unset (tests, local runs) a folder is made: a temporary one in local
-    mode, one below the warehouse elsewhere.
-    """
+    """spark.checkpoint.dir as the session has it. Where it is unset: a temporary folder in local mode, an error on a cluster."""
     importable(spark)
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        where = tempfile.mkdtemp(prefix="veritab-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_veritab"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="veritab-")  # driver and tasks are one process
         spark.conf.set("spark.checkpoint.dir", where)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(where)
@@ -74,3 +71,30 @@ def fold(doc_id: Column, modulus: int) -> Column:
 
 def partitions_of(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
+
+
+#: A key is hot with more rows than this, and more than one in HOTS of all rows: HOTS hot keys at most.
+HOT_ROWS, HOTS = 256, 100_000
+#: Rows that are joined as they are: one task may have all of them.
+EASY_ROWS = 50_000
+
+
+def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """(key, rows) of the hot keys of rows, which has total rows: HOTS keys at most, whatever the data."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("rows"))
+    return checkpointed(counts.where((F.col("rows") > max(HOT_ROWS, total // HOTS)) & F.col(key).isNotNull()))
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with table, which has a row a key: rows of hot keys stay where they are, all others are shuffled.
+
+    total: about how many rows there are. how: inner or left.
+    """
+    if total <= EASY_ROWS:
+        return rows.join(table, key, how)
+    hot = hot_keys(rows, key, total).select(key)
+    if not hot.take(1):
+        return rows.join(table, key, how)
+    side = F.broadcast(hot)  # HOTS keys at most, and so are the table's rows of them
+    few = F.broadcast(table.join(side, key, "left_semi"))
+    return rows.join(side, key, "left_semi").join(few, key, how).unionByName(rows.join(side, key, "left_anti").join(table, key, how))
