@@ -1,6 +1,6 @@
 """Words of many texts, each looked up once: block dictionaries, and their join back by position.
 
-Texts are read in blocks of a few million words. A block keeps its texts as positions in a
+Texts are read in blocks of about a million words. A block keeps its texts as positions in a
 dictionary of its own, and sends each distinct word once to the bucket that the word's checksum
 names. Buckets see every distinct word of the corpus, answer for it once, and send the answers
 back to the blocks that asked; a block puts the answers in the places of the words.
@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from .common import bounded_batches, partitions_of, shared_dir
 
 #: Words in a block, after which it is closed (a longer text is a block of its own).
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 20
 #: Distinct words of a block, after which it is closed.
-BLOCK_DISTINCT = 400_000
+BLOCK_DISTINCT = 250_000
 
 STAGED = "block long, texts binary, words binary"
 _PACK = zstandard.ZstdCompressor(level=1)
