@@ -138,6 +138,7 @@ def test_contamination(spark, small, monkeypatch):
     docs, rows = frame(spark, own)
     if not small:
         monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(decontaminate, "HOT_ROWS", 3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in decontaminate.decontaminate(docs, bench).collect())
     expected = contamination_brute(rows, items)
@@ -259,17 +260,83 @@ def test_exchange_ends_where_no_move_helps():
 
 
 def test_licenses(spark):
-    own = [None, "", "All rights reserved.", "x y\nLicensed under the Apache License, Version 2.0.\nz", "Licensed under the good old Apache License, Version 2.0.", LONG + " Released under the MIT License. " + LONG, "licensed as it is", licenses.TEMPLATES["mit-text"].upper()]
+    mit = licenses.default_templates()["mit"]
+    own = [None, "", "All rights reserved.", "x y\nLicensed under the Apache License, Version 2.0.\nz", "Licensed under the good old Apache License, Version 2.0.", LONG + " Released under the MIT License. " + LONG, "licensed as it is", mit.upper()]
     docs, rows = frame(spark, own)
     got = {r.doc_id: [(x.template, x.coverage) for x in r.reports] for r in licenses.license_scan(docs).collect() if r.doc_id is not None}
-    assert got[2] == [("all-rights-reserved", 1.0)] and got[3] == [("apache-2.0", 1.0)] and got[5] == [("mit", 1.0)] and got[7] == [("mit-text", 1.0)]
-    assert got[4] == [("apache-2.0", 1.0)] and got[1] == got[6] == []
+    assert got[2] == [("all-rights-reserved", 1.0)] and got[3] == [("apache-2.0-notice", 1.0)] and got[5] == [("mit-notice", 1.0)] and got[7] == [("mit", 1.0)]
+    assert got[4] == [("apache-2.0-notice", 1.0)] and got[1] == got[6] == []
     spans = {r.doc_id: r.reports for r in licenses.license_scan(docs).collect()}
     assert own[3].encode()[spans[3][0].start : spans[3][0].end] == b"Licensed under the Apache License, Version 2.0"
-    many = licenses.license_scan(docs, {f"t{i}": f"alpha{i} beta{i} gamma{i} delta{i}" for i in range(50)} | {"m": licenses.TEMPLATES["mit"]})
+    many = licenses.license_scan(docs, {f"t{i}": f"alpha{i} beta{i} gamma{i} delta{i}" for i in range(50)} | {"m": licenses.NOTICES["mit-notice"]})
     assert [x.template for r in many.where("doc_id = 5").collect() for x in r.reports] == ["m"]
 
 
+def _word_hashes(text):
+    import numpy as np
+
+    from veritab.llm import bytesarr
+
+    data = np.frombuffer(text.encode(), np.uint8)
+    return bytesarr.word_hashes(data, np.array([0, len(data)]))[2]
+
+
+def test_whole_licenses_and_what_tells_them_apart(spark):
+    """Each whole text finds itself best, also with edits; two clauses are not three."""
+    r = random.Random(1)
+    own = licenses.default_templates()
+    names = [n for n in own if n not in licenses.NOTICES]
+    edited = [" ".join(w for w in own[n].split() if r.random() > 0.03) for n in names]
+    short = [n for n in names if len(own[n]) < 12_000]
+    names, edited = short, [t for t, n in zip(edited, names, strict=True) if n in short]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([own[n] for n in names] + edited)], "doc_id long, text string").repartition(4)
+    for x in licenses.license_scan(docs).collect():
+        best = max((y for y in x.reports if y.best), key=lambda y: y.matched)
+        assert best.template == names[x.doc_id % len(names)] and (best.coverage == 1.0 if x.doc_id < len(names) else best.coverage > 0.9)
+        if best.template == "bsd-2-clause":
+            assert all(y.coverage < best.coverage for y in x.reports if y.template == "bsd-3-clause")
+
+
+def test_notices_that_follow_each_other(spark):
+    """Runs of notices, with single words changed or put in between, against where they were put."""
+    r = random.Random(5)
+    own = {n: licenses.NOTICES[n] for n in ("all-rights-reserved", "mit-notice", "cc-by-nc-4.0-notice", "gpl-3.0-notice", "cc-by-4.0-notice")}
+    texts, expected = [], []
+    for _ in range(60):
+        words, put = [], []
+        for _ in range(r.randint(1, 12)):
+            name = r.choice(list(own))
+            notice = re.findall(r"[A-Za-z0-9]+", own[name])
+            if len(notice) >= 10 and r.random() < 0.4:
+                notice[r.randrange(1, len(notice) - 1)] = "zzz"
+            words += r.choices(WORDS[:40], k=r.choice([0, 0, 0, 3]))
+            put.append((name, len(words), len(words) + len(notice) - 1))
+            words += notice
+        texts.append(" ".join(words))
+        expected.append(sorted(put))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: sorted((y.template, y.first_word, y.last_word) for y in x.reports) for x in licenses.license_scan(docs, own).collect()}
+    assert [got[i] for i in range(60)] == expected
+
+
+def test_seeds_lose_nothing():
+    """Reports from fingerprints are those from all diagonals, exact copies at any place; overlapping templates of equal coverage are both told."""
+    r = random.Random(6)
+    index = licenses.Index({"a": " ".join(f"t{i}" for i in range(12)), "b": " ".join(f"t{i}" for i in range(4, 16)), "c": "u v"})
+    for _ in range(40):
+        words = []
+        for _ in range(r.randint(1, 5)):
+            words += r.choices(["x", "y", "t3", "u"], k=r.randint(0, 4)) + [f"t{i}" for i in range(16)][r.choice([0, 4]) :][: r.choice([12, 16])] + r.choice([[], ["u", "v"]])
+        hashes, seeds = _word_hashes(" ".join(words)), index.seeds(_word_hashes(" ".join(words)))
+        for t, template in enumerate(index.words):
+            every = [(p, 0) for p in range(len(hashes))]
+            exact = [p for p in range(len(hashes) - len(template) + 1) if (hashes[p : p + len(template)] == template).all()]
+            got = licenses.spans(template, hashes, seeds.get(t, []), 8, 1.0)
+            assert [a for _, a, b in got if b - a + 1 == len(template)] == exact and len(got) == len(licenses.spans(template, hashes, every, 8, 1.0))
+    both = licenses._marked(licenses.reports(index, _word_hashes(" ".join(f"t{i}" for i in range(16))), *[__import__("numpy").zeros(16, int)] * 2, 8, 0.8))
+    assert [(x["template"], x["coverage"], x["best"]) for x in both] == [("a", 1.0, True), ("b", 1.0, False)]
+
+
 def test_alignment_like_the_full_table():
     import numpy as np
 
@@ -283,7 +350,11 @@ def test_alignment_like_the_full_table():
     r = random.Random(2)
     for _ in range(50):
         a, b = [r.randrange(5) for _ in range(r.randint(1, 9))], [r.randrange(5) for _ in range(r.randint(1, 9))]
-        assert licenses.aligned(np.array(a), np.array(b), 0, 20)[0] == lcs(a, b)
+        most, first, last = licenses.aligned(np.array(a), np.array(b), 0, 20)
+        assert most == lcs(a, b)
+        ends = [j for j in range(len(b)) if lcs(a, b[: j + 1]) == most]
+        starts = [i for i in range(len(b)) if most and lcs(a, b[i : ends[0] + 1]) == most]
+        assert (first, last) == ((starts[-1], ends[0]) if most else (-1, -1))
 
 
 def labelled_docs(spark, bad, n=300, repeat=1):
