@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text that go to a Python worker at once; keeps a worker's memory apart from the table's size.
-BATCH_ROWS = 1000
+#: Rows of text, and their bytes, that go to a Python worker at once; keeps a worker's memory apart from the table's size.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,11 +57,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hands texts to Python workers in batches of at most BATCH_ROWS rows."""
+    """Hands texts to Python workers in batches of at most BATCH_ROWS rows and, but for single rows, BATCH_BYTES."""
     importable(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = spark.conf.get(key).rstrip("bB")
+        if not (held.isdigit() and 0 < int(held) <= most):
+            spark.conf.set(key, str(most))
 
 
 def fold(doc_id: Column, modulus: int) -> Column:
