@@ -65,6 +65,17 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def carried(docs: DataFrame, *without: str) -> tuple[Column, list[Column]]:
+    """docs' columns but those called like without, in any case, as one struct to be called row; what takes them out of it again.
+
+    Beside row an operator's own names meet no name of the caller's.
+    """
+    apart = {x.lower() for x in without}
+    kept = [c for c in docs.columns if c.lower() not in apart]
+    row = F.struct(F.lit(0).alias("rows"), *[F.col(f"`{c.replace('`', '``')}`").alias(f"c{k}") for k, c in enumerate(kept)])
+    return row.alias("row"), [F.col(f"row.c{k}").alias(c) for k, c in enumerate(kept)]
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; 0..modulus-1, null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

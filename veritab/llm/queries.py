@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, urls, warc
+from . import centroids, decontaminate, secret_scan, urls, warc
 from .ann import op1_ann
 from .bpe import op4_bpe
+from .centroids import op11_centroids
 from .decontaminate import op6_decontaminate
 from .licenses import op3_licenses
 from .lm import op10_lm
 from .quality import op2_quality
+from .runs import op13_runs
+from .secret_scan import op12_secrets
 from .simhash import op9_simhash
 from .toxicity import op8_toxicity
 from .urls import op5_urls
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_lm": op10_lm,
+    "op11_centroids": op11_centroids,
+    "op12_secrets": op12_secrets,
+    "op13_runs": op13_runs,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_urls": urls.ORACLE_SQL, "op6_decontaminate": decontaminate.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_urls": urls.ORACLE_SQL, "op6_decontaminate": decontaminate.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op11_centroids": centroids.ORACLE_SQL, "op12_secrets": secret_scan.ORACLE_SQL}
