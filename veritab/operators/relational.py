@@ -153,32 +153,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def met_by(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined with right (a stored table) by key, which both may repeat: right's rows of a hot key are dealt over salts, for which left's rows of it repeat."""
+    most = max(HOT_ROWS, right.count() // HOTS)
+    hot = cut(right.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_salts")).where(F.col("_salts") > 1))
+    if not hot.take(1):
+        return left.join(right, key)
+    side = F.broadcast(hot)  # HOTS keys at most
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = right.join(side, key, "left").withColumn("_salt", F.floor(F.rand(7) * salts).cast("int")).drop("_salts")
+    again = left.join(side, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return again.join(dealt, [key, "_salt"]).drop("_salt")
+
+
 def similar_pairs(df: DataFrame, node: str, tokens: str, least: float) -> DataFrame:
     """Edges (a, b) that join the nodes whose tokens are similar: the share of the earlier node's tokens that prefix-match.
 
     A left node of n tokens needs matches for at least least * n of them, so one of its
-    n - ceil(least * n) + 1 rarest tokens must match: only those look for partners. Of two tokens
-    that prefix-match the shorter one is equal to a prefix of the longer: each token meets equal
-    tokens and is met, by all its prefixes, by shorter ones - on whole tokens, so a common beginning
-    of many tokens is no key. Nodes of equal tokens are joined with the first of them, which alone
-    meets others (as the earlier one, if any of its nodes is before any of the others).
+    n - ceil(least * n) + 1 rarest tokens must match: only those look for partners, and meet all
+    tokens that they begin or that begin them (prefixes.prefix_pairs). Nodes of equal tokens are
+    joined with the first of them, which alone meets others (as the earlier one, if any of its nodes
+    is before any of the others).
     """
+    from veritab.operators.prefixes import prefix_pairs
+
     nodes = cut(df.select(F.col(node).alias("n"), F.col(tokens).alias("t")).where(F.size("t") > 0))
     t = cut(nodes.groupBy("t").agg(F.min("n").alias("n"), F.max("n").alias("last")))
-    each = t.select("n", "last", "t", F.explode(F.array_distinct("t")).alias("x"))
-    common = each.groupBy("x").agg(F.count("*").alias("c"))
+    each = cut(t.select("n", "last", F.explode(F.array_distinct("t")).alias("x"), F.size("t").alias("k")))
+    common = cut(each.groupBy("x").agg(F.count("*").alias("c")))
     rank = F.row_number().over(Window.partitionBy("n").orderBy("c", "x"))
-    probes = cut(each.join(common, "x").withColumn("r", rank).where(F.col("r") <= F.size("t") - F.ceil(least * F.size("t")) + 1))
-
-    def starts(rows: DataFrame) -> DataFrame:
-        return rows.select("n", "last", "t", F.explode(F.transform(F.sequence(F.lit(1), F.length("x")), lambda k: F.left("x", k))).alias("x"))
-
-    def meet(l: DataFrame, r: DataFrame) -> DataFrame:
-        l, r = l.alias("l"), r.alias("r")
-        met = l.join(r, (F.col("l.x") == F.col("r.x")) & (F.col("l.n") != F.col("r.n")) & (F.col("l.n") < F.col("r.last")))
-        return met.select(F.col("l.n").alias("a"), F.col("r.n").alias("b"), F.col("l.t").alias("lt"), F.col("r.t").alias("rt"))
-
-    met = meet(starts(probes), each).union(meet(probes, starts(each))).dropDuplicates(["a", "b"])
+    probes = looked_up(each, common, "x").withColumn("r", rank).where(F.col("r") <= F.col("k") - F.ceil(least * F.col("k")) + 1).select(F.col("n").alias("a"), F.col("x").alias("l"))
+    probes = cut(probes)
+    pairs = prefix_pairs(probes.select(F.col("l").alias("x")).distinct(), common)
+    asked = met_by(pairs, probes, "l").select("a", F.col("r").alias("x"))
+    met = met_by(asked, each.select("x", F.col("n").alias("b"), "last"), "x").where((F.col("a") != F.col("b")) & (F.col("a") < F.col("last")))
+    met = cut(met.select("a", "b").distinct())
+    met = looked_up(met, t.select(F.col("n").alias("a"), F.col("t").alias("lt")), "a")
+    met = looked_up(cut(met), t.select(F.col("n").alias("b"), F.col("t").alias("rt")), "b")
     shared = F.size(F.filter("lt", lambda x: F.exists("rt", lambda y: x.startswith(y) | y.startswith(x))))
     copies = looked_up(nodes, t.select("t", F.col("n").alias("a")), "t").where("a <> n").select("a", F.col("n").alias("b"))
     return met.where(shared / F.size(F.array_union("lt", "rt")) >= least).select("a", "b").union(copies)
@@ -187,15 +198,14 @@ def similar_pairs(df: DataFrame, node: str, tokens: str, least: float) -> DataFr
 def most_shared(subjects: DataFrame, subject: str, token: str, weight: str, others: DataFrame, other: str, name: str) -> DataFrame:
     """(subject, other, shared): for each subject the other with which it shares most; tokens are shared if one starts the other.
 
-    subjects: a row for each token, with its weight; others: a row for each token. Tokens meet by
-    equality, of a whole token with a prefix of another; a pair counts once however it meets.
+    subjects: a row for each token, with its weight; others: a row for each token. Vocabularies meet
+    first; a pair of a token and an other counts once however many tokens it meets by.
     """
-    words = cut(subjects.select(F.col(token).alias("t")).distinct())
-    prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.left(c, k)))
-    held = cut(others.select(F.col(other), F.col(name).alias("o")).distinct())
-    shorter = words.select("t", prefixes("t").alias("o")).join(held, "o").select("t", other)
-    longer = held.select(other, prefixes("o").alias("t")).join(words, "t").select("t", other)
-    met = shorter.union(longer).distinct()
+    from veritab.operators.prefixes import prefix_pairs
+
+    held = cut(others.select(F.col(other), F.col(name).alias("r")).distinct())
+    pairs = cut(prefix_pairs(subjects.select(F.col(token).alias("x")).distinct(), held.select(F.col("r").alias("x")).distinct()))
+    met = met_by(pairs, held, "r").select(F.col("l").alias("t"), other).distinct()
     sums = subjects.join(met, subjects[token] == met["t"]).groupBy(subject, other).agg(F.sum(weight).alias("shared"))
     return sums.groupBy(subject).agg(F.min_by(F.struct(other, "shared"), F.struct(-F.col("shared"), other)).alias("b")).select(subject, f"b.{other}", "b.shared")
 

@@ -274,7 +274,8 @@ SELECT item_id, source, CAST(shared AS BIGINT) AS shared FROM s QUALIFY row_numb
 def crossref_argmax(spark, sf):
     """The source whose texts share most with an item, over whole texts: each token of the item that prefix-matches one of the source's."""
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = t(spark, sf, "documents").select("source", F.explode(S.content_tokens(low)).alias("o")).distinct()
+    words = t(spark, sf, "documents").select("source", F.explode(F.array_distinct(F.split(low, "[^a-z0-9]+"))).alias("w")).distinct()
+    tokens = words.where((F.length("w") > 0) & ~F.col("w").isin(S.STOP_WORDS)).select("source", S.stem(F.col("w")).alias("o"))  # a stem for each distinct word
     items = t(spark, sf, "benchmark").select("item_id", F.explode(S.content_tokens(low)).alias("token"))
     return relational.most_shared(items.groupBy("item_id", "token").agg(F.count("*").alias("n")), "item_id", "token", "n", tokens, "source", "o")
 
