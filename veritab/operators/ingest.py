@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions.scalars import WS
-from veritab.operators import relational
+from veritab.operators import relational, scans
 
 #: Fixed values of page geometry.
 ROTATION, LINE_REACH, FOOTER_Y, BAND, SHARE = 3, 2.2, 110.0, 6.0, 0.6
@@ -116,23 +116,34 @@ def structure(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sections, paragraphs): sections by running headings, paragraphs by gaps, pages and fonts.
 
     Paragraph thresholds use all lines of a page, headings too; a repeated section id takes the
-    section's number behind a #.
+    section's number behind a #. Pages are summed up (headings; by section the last line, paragraphs
+    begun), and segmented scans over these give what is open where a page begins. Lines are only
+    ever ordered within their page.
     """
-    doc = Window.partitionBy("documentId").orderBy("pdfPage", "lineSeq")
     page = Window.partitionBy(*PAGE).orderBy("lineSeq")
     marked = headings(lines).withColumn("_gap", F.lag("y").over(page) - F.col("y"))
-    least = marked.groupBy(*PAGE).agg((PARAGRAPH * F.min(F.when(F.col("_gap") > 1, F.col("_gap")))).alias("_limit"))
-    rows = marked.join(least, PAGE).withColumn("sectionSeq", F.sum(F.col("headingId").isNotNull().cast("int")).over(doc.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.withColumn("_heads", F.sum(F.col("headingId").isNotNull().cast("long")).over(page.rowsBetween(Window.unboundedPreceding, 0)))
+    pages = marked.groupBy(*PAGE).agg((PARAGRAPH * F.min(F.when(F.col("_gap") > 1, F.col("_gap")))).alias("_limit"), F.max("_heads").alias("heads"))
+    opened = scans.running(pages, ["documentId"], ["pdfPage"], sums=["heads"]).select(*PAGE, "_limit", "before_heads")
+    rows = relational.cut(marked.join(opened, PAGE).withColumn("sectionSeq", F.col("before_heads") + F.col("_heads")).drop("before_heads", "_heads"))
     heads = rows.where("headingId IS NOT NULL").select("documentId", "sectionSeq", F.col("headingId").alias("id"), "heading", "pdfPage")
     front = rows.where("sectionSeq = 0").groupBy("documentId", "sectionSeq").agg(F.lit("FRONT MATTER").alias("id"), F.lit("FRONT MATTER").alias("heading"), F.min("pdfPage").alias("pdfPage"))
     sections = front.unionByName(heads)
-    sections = sections.withColumn("_n", F.row_number().over(Window.partitionBy("documentId", "id").orderBy("sectionSeq"))).withColumn("id", F.when(F.col("_n") > 1, F.concat("id", F.lit("#"), F.col("sectionSeq").cast("string"))).otherwise(F.col("id"))).drop("_n")
+    first = sections.groupBy("documentId", "id").agg(F.min("sectionSeq").alias("_first"))
+    sections = sections.join(first, ["documentId", "id"]).withColumn("id", F.when(F.col("sectionSeq") > F.col("_first"), F.concat("id", F.lit("#"), F.col("sectionSeq").cast("string"))).otherwise(F.col("id"))).drop("_first")
     body = rows.where("headingId IS NULL")
-    own = Window.partitionBy("documentId", "sectionSeq").orderBy("pdfPage", "lineSeq")
-    before = lambda c: F.lag(c).over(own)
-    same_page = before("pdfPage") == F.col("pdfPage")
-    starts = before("pdfPage").isNull() | (before("mono") != F.col("mono")) | (same_page & F.coalesce(before("y") - F.col("y") > F.col("_limit"), F.lit(False))) | (~same_page & F.trim(before("text")).rlike("[.:;]$"))
-    body = relational.islands(body, ["documentId", "sectionSeq"], ["pdfPage", "lineSeq"], starts, "paraSeq")
+    section, part = ["documentId", "sectionSeq"], [*PAGE, "sectionSeq"]
+    own = Window.partitionBy(*part).orderBy("lineSeq")
+    line = F.struct("pdfPage", "mono", "y", "text")
+    tails = body.groupBy(*part).agg(F.max_by(line, "lineSeq").alias("line"))
+    open_ = scans.running(tails, section, ["pdfPage"], lasts=["line"]).select(*part, "last_line")
+    before = F.col("_before")
+    same_page = before["pdfPage"] == F.col("pdfPage")
+    starts = before.isNull() | (before["mono"] != F.col("mono")) | (same_page & F.coalesce(before["y"] - F.col("y") > F.col("_limit"), F.lit(False))) | (~same_page & F.trim(before["text"]).rlike("[.:;]$"))
+    body = body.join(open_, part).withColumn("_before", F.coalesce(F.lag(line).over(own), F.col("last_line"))).withColumn("begun", F.coalesce(starts, F.lit(False)).cast("long")).drop("last_line", "_before")
+    body = relational.cut(body)
+    begun = scans.running(body.groupBy(*part).agg(F.sum("begun").alias("begun")), section, ["pdfPage"], sums=["begun"]).select(*part, "before_begun")
+    body = body.join(begun, part).withColumn("paraSeq", F.col("before_begun") + F.sum("begun").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("before_begun", "begun")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("pdfPage", "lineSeq", "text"))), lambda x: x["text"])
     paragraphs = body.groupBy("documentId", "sectionSeq", "paraSeq").agg(listed.alias("lines"), F.min("pdfPage").alias("pdfPage"), F.when(F.bool_and("mono"), "CODE").otherwise("PROSE").alias("kind"))
     paragraphs = paragraphs.withColumn("text", F.when(F.col("kind") == "CODE", F.array_join("lines", "\n")).otherwise(reflowed(F.col("lines"))))
@@ -147,7 +158,7 @@ def abbreviations(paragraphs: DataFrame) -> DataFrame:
     capitals = F.regexp_count(token, F.lit("[A-Z]"))
     looks = ((capitals >= 2) | ((capitals == 1) & (F.length(token) <= 4))) & ~F.lower(token).isin("table", "figure", "list", "page")
     found = lines.where(F.col("line").rlike(row) & looks).select("*", token.alias("acronym"), F.trim(F.regexp_extract("line", row, 2)).alias("expansion"))
-    return found.withColumn("abbrSeq", F.row_number().over(Window.partitionBy("documentId").orderBy("sectionSeq", "paraSeq", "k")).cast("int")).select("documentId", "abbrSeq", "acronym", "expansion", "paragraphId")
+    return scans.numbered_within(found, "documentId", ["sectionSeq", "paraSeq", "k"], "abbrSeq").withColumn("abbrSeq", F.col("abbrSeq").cast("int")).select("documentId", "abbrSeq", "acronym", "expansion", "paragraphId")
 
 
 def index_of(paragraphs: DataFrame, descriptors: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from veritab.functions.matches import matches
 from veritab.functions.scalars import snippet, tidy
 from veritab.model import HIT
+from veritab.operators import relational
 
 Groups = Callable[[int], Column]
 #: Rules in one projection. Plans of all rules together take Spark longer than further looks at the paragraphs.
@@ -138,19 +139,15 @@ def extract(paragraphs: DataFrame, rules: dict[int, Rule]) -> list[DataFrame]:
 def entities_of(hits: DataFrame) -> DataFrame:
     """Facts: of equal (document, paragraph, concept, value) the first by order stays; with citation and sequence.
 
-    entitySeq orders facts by document, section, paragraph, rule and hit; it is dense over the
-    documents, and counted for each document apart, so no task sorts all facts.
+    entitySeq orders facts by document, section, paragraph, rule and hit; it is dense over all
+    documents, and counted in ranges of that order, so no task sorts all facts or all documents.
     """
     from pyspark.sql import Window
 
     order = ["docSeq", "sectionSeq", "paraSeq", "ruleOrd", "hitOrd"]
     key = Window.partitionBy("documentId", "paragraphId", "hit.conceptKey", "hit.normalizedValue").orderBy(*order)
     first = hits.withColumn("_n", F.row_number().over(key)).where("_n = 1").drop("_n")
-    own = first.withColumn("_own", F.row_number().over(Window.partitionBy("docSeq", "documentId").orderBy(*order)))
-    totals = own.groupBy("docSeq", "documentId").agg(F.count("*").alias("_n"))
-    earlier = Window.orderBy("docSeq", "documentId").rowsBetween(Window.unboundedPreceding, -1)  # a row a document
-    base = totals.select("docSeq", "documentId", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    out = own.join(base, ["docSeq", "documentId"]).withColumn("entitySeq", (F.col("_base") + F.col("_own")).cast("long"))
+    out = relational.dense_numbers(first, ["docSeq", "documentId", *order[1:]], "entitySeq")
     citation = F.struct("documentId", "documentType", "version", "author", "sectionId", "sectionHeading", "printedPage", "pdfPage", "paragraphId", snippet(F.col("text"), F.col("hit.index"), F.length("hit.rawText")).alias("snippet"))
     return out.select(
         F.concat(F.lit("ENT-"), F.when(F.col("entitySeq") < 10000, F.lpad(F.col("entitySeq").cast("string"), 4, "0")).otherwise(F.col("entitySeq").cast("string"))).alias("id"),

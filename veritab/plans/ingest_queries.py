@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions import scalars as S
@@ -124,7 +124,7 @@ def indexed_paragraphs(spark, sf):
     """Paragraphs with the columns and the order of their documents."""
     _, own = ingest.structure(_clean(spark, sf))
     names = t(spark, sf, "documents").select("source").distinct()
-    listed = names.withColumn("docSeq", (F.row_number().over(Window.orderBy("source")) - 1))  # a row a document
+    listed = relational.dense_numbers(names, ["source"], "docSeq").withColumn("docSeq", F.col("docSeq") - 1)
     descriptors = listed.select(F.col("source").alias("id"), F.get(F.array(*[F.lit(x) for x in DOCUMENT_TYPES]), F.col("docSeq") % 5).alias("type"), F.lit("").alias("title"), F.lit("v1").alias("version"), F.lit("").alias("author"), "docSeq")
     out = ingest.index_of(own.withColumn("printedPage", F.col("pdfPage")), descriptors)
     return out.groupBy(F.col("documentType").alias("type"), F.col("docSeq").cast("long").alias("order")).agg(F.count("*").alias("paragraphs"), F.max(F.size("lines")).cast("long").alias("longest"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.model import DESCRIPTORS, ITEMS, chosen
+from veritab.operators import relational
 
 #: How a document's type shows in its file name, in the order in which it is tried.
 TYPES = [("(?i)sap", "SAP"), ("(?i)csr", "CSR"), ("(?i)crf", "CRF"), ("(?i)brochure|ib", "IB")]
@@ -21,8 +22,9 @@ def descriptors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_order(rows: DataFrame) -> DataFrame:
-    """Descriptors with docSeq, in the order of rows (a list of documents is small)."""
-    return rows.withColumn("_i", F.monotonically_increasing_id()).withColumn("docSeq", (F.row_number().over(Window.orderBy("_i")) - 1).cast("int")).drop("_i")
+    """Descriptors with docSeq, in the order of rows."""
+    placed = relational.cut(rows.withColumn("_i", F.monotonically_increasing_id()))
+    return relational.dense_numbers(placed, ["_i"], "docSeq").withColumn("docSeq", (F.col("docSeq") - 1).cast("int")).drop("_i")
 
 
 def items(spark: SparkSession, path: str) -> DataFrame:
