@@ -13,10 +13,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.functions.matches import matches
+from veritab.functions import literals
+from veritab.functions.matches import let, matches
 from veritab.functions.scalars import snippet, tidy
 from veritab.model import HIT
 from veritab.operators import relational
+from veritab.plans.scratch import stored_by
 
 Groups = Callable[[int], Column]
 #: Rules in one projection. Plans of all rules together take Spark longer than further looks at the paragraphs.
@@ -89,13 +91,19 @@ def pattern_hits(p: Pattern, text: Column) -> Column:
     return found if p.when is None else F.when(text.rlike(p.when), found).otherwise(F.array().cast(f"array<{HIT}>"))
 
 
-def gate(rule: Rule) -> Column:
-    """Whether a rule applies to the paragraph."""
+def applies(rule: Rule) -> Column:
+    """Whether a rule is for documents and paragraphs of this kind."""
     out = F.lit(True)
     if rule.document_types:
         out = out & F.col("documentType").isin(list(rule.document_types))
     if rule.kind:
         out = out & (F.col("kind") == rule.kind)
+    return F.coalesce(out, F.lit(False))
+
+
+def gate(rule: Rule) -> Column:
+    """Whether a rule applies to the paragraph."""
+    out = applies(rule)
     if rule.excludes_heading:
         out = out & ~F.coalesce(F.col("sectionHeading"), F.lit("")).rlike(rule.excludes_heading)
     if rule.excludes:
@@ -123,16 +131,58 @@ def tagged(rule: Rule, order: int, hits: Column) -> Column:
     )
 
 
+def needs_of(rule: Rule) -> literals.Needs:
+    """Alternatives of literals that a paragraph must hold for the rule to fire; one without any where the rule is not said by patterns."""
+    own = [literals.both(literals.needed(p.regex), literals.needed(p.when) if p.when else literals.NOTHING) for p in rule.patterns]
+    fires = literals.NOTHING if rule.hits or not own else literals.either(*own)
+    return literals.both(fires, literals.needed(rule.requires)) if rule.requires else fires
+
+
+def may_fire(rules: dict[int, Rule]) -> Column:
+    """array<int>: the rules, by their order, that may fire in a paragraph: an index from literals to rules, looked at once a paragraph.
+
+    Every literal is sought once, whichever rules need it. A rule that is left out cannot match.
+    """
+    needs = {order: needs_of(rule) for order, rule in rules.items()}
+    words = sorted({s for n in needs.values() for a in n for s in a})
+    place = {s: k for k, s in enumerate(words)}
+    sought = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("s")) for s, k in place.items()]) if words else F.array().cast("array<struct<k:int,s:string>>")
+    postings = F.array(*[F.struct(F.lit(order).alias("rule"), F.array(*[F.lit(place[s]) for s in sorted(a)]).cast("array<int>").alias("all")) for order, n in sorted(needs.items()) for a in sorted(n, key=sorted)])
+    held = let({"low": F.lower("text")}, lambda v: F.transform(F.filter(sought, lambda e: F.contains(v["low"], e["s"])), lambda e: e["k"]))
+    met = let({"held": held}, lambda v: F.array_distinct(F.transform(F.filter(postings, lambda a: F.forall(a["all"], lambda k: F.array_contains(v["held"], k))), lambda a: a["rule"])))
+    other = [F.when(~applies(rule), F.lit(order)) for order, rule in sorted(rules.items()) if rule.document_types or rule.kind]
+    return F.array_except(met, F.array_compact(F.array(*other))) if other else met
+
+
+def candidates(paragraphs: DataFrame, rules: dict[int, Rule]) -> DataFrame:
+    """paragraphs, each with those rules that may fire in it and lie in one group of TOGETHER, as _fire; _group is the group's number.
+
+    The one look at all paragraphs; the table is stored by group.
+    """
+    group = {order: k // TOGETHER for k, order in enumerate(sorted(rules))}
+    groups = F.create_map(*[F.lit(x) for pair in group.items() for x in pair])
+    fire = paragraphs.withColumn("_fire", F.coalesce(may_fire(rules), F.array().cast("array<int>"))).where(F.size("_fire") > 0)
+    return stored_by(fire.withColumn("_group", F.explode(F.array_distinct(F.transform("_fire", lambda r: groups[r])))), "_group", "candidates")
+
+
 def extract(paragraphs: DataFrame, rules: dict[int, Rule]) -> list[DataFrame]:
-    """paragraphs joined with the hits of rules, by their order in the catalogue; TOGETHER rules in each projection."""
+    """paragraphs joined with the hits of rules, by their order in the catalogue.
+
+    Paragraphs are looked at once, for the literals that rules need; TOGETHER rules at a time then
+    look at the paragraphs that they may fire in.
+    """
     text, ordered, out = F.col("text"), sorted(rules.items()), []
+    if not ordered:
+        return []
+    found_in = candidates(paragraphs, rules)
     for k in range(0, len(ordered), TOGETHER):
         arrays = []
         for order, rule in ordered[k : k + TOGETHER]:
             parts = [pattern_hits(p, text) for p in rule.patterns] + ([rule.hits()] if rule.hits else [])
             found = parts[0] if len(parts) == 1 else F.concat(*parts)
-            arrays.append(tagged(rule, order, F.when(gate(rule), found).otherwise(F.array().cast(f"array<{HIT}>"))))
-        out.append(paragraphs.select("*", F.inline(F.flatten(F.array(*arrays)))))
+            arrays.append(tagged(rule, order, F.when(F.array_contains("_fire", order) & gate(rule), found).otherwise(F.array().cast(f"array<{HIT}>"))))
+        own = found_in.where(F.col("_group") == k // TOGETHER)
+        out.append(own.select(*paragraphs.columns, F.inline(F.flatten(F.array(*arrays)))))
     return out
 
 

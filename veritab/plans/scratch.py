@@ -31,3 +31,11 @@ def stored(parts: Iterable[DataFrame], name: str) -> DataFrame:
             path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         part.write.mode("append").parquet(path)
     return spark.read.parquet(path)
+
+
+def stored_by(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """rows as a table with a folder for each value of column, of which there are few."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    rows.write.partitionBy(column).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
