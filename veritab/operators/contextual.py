@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from veritab.functions import scalars as S
 from veritab.functions.matches import matches
+from veritab.operators import relational
 from veritab.operators.catalogue import BY_ID, ORDER
 from veritab.operators.rules import attributes_of, gate, hit, tagged
+from veritab.operators.top_overlap import best_by_overlap
 
 B, W = S.WB, S.WS
 def none() -> Column:
@@ -81,11 +83,12 @@ def references(paragraphs: DataFrame, sections: DataFrame) -> DataFrame:
     cited = bare.groupBy("documentId", F.upper("bare").alias("_to")).agg(F.min_by("heading", "sectionSeq").alias("_cited"))
     each = each.withColumn("_to", F.upper("_r.target")).join(cited, ["documentId", "_to"], "left")
     # The best section for a described reference: most shared tokens, the first of ties.
-    key = ["documentId", "docSeq", "sectionSeq", "paraSeq", "_pos"]
-    scored = each.where("_subject IS NOT NULL").select(*key, "_subject").join(bare.select("documentId", F.col("sectionSeq").alias("_q"), "bare", "heading"), "documentId")
-    scored = scored.withColumn("_s", S.overlap(F.col("_subject"), S.content_tokens(F.col("heading")))).where("_s > 0")
-    best = scored.groupBy(*key).agg(F.max_by(F.struct("bare", "heading", "_s"), F.struct("_s", -F.col("_q"))).alias("_best"))
-    each = each.join(best, key, "left")
+    each = relational.cut(each.withColumn("_ask", F.when(F.col("_subject").isNotNull(), F.struct(F.col("documentId").alias("key"), F.col("_subject").alias("subject")))))
+    held = bare.select(F.col("documentId").alias("key"), F.col("sectionSeq").alias("seq"), S.content_tokens(F.col("heading")).alias("tokens"))
+    best = best_by_overlap(each.where("_ask IS NOT NULL").select("_ask.*"), held)
+    best = best.join(bare.select(F.col("documentId").alias("key"), F.col("sectionSeq").alias("seq"), "bare", "heading"), ["key", "seq"])
+    best = best.select(F.struct("key", "subject").alias("_ask"), F.struct("bare", "heading", F.col("score").alias("_s")).alias("_best"))
+    each = relational.looked_up(each, relational.cut(best), "_ask", "left")
     cited_score = S.overlap(F.col("_subject"), S.content_tokens(F.col("_cited")))
     wrong = F.coalesce((F.col("_best._s") > cited_score) & (F.upper("_best.bare") != F.col("_to")), F.lit(False))
     absent = F.col("_cited").isNull()
