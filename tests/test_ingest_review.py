@@ -91,7 +91,8 @@ def test_review(spark, tmp_path):
 
 def test_log_beyond_five_digits(spark, tmp_path):
     log = review.AuditLog(spark, str(tmp_path / "audit"))
-    log._created(99_998, json.dumps({"id": "AE-99998", "timestamp": "t", "actor": "a", "eventType": "RECORD_EXPORTED", "detail": "csv", "rulesetVersion": "1.0"}) + "\n")
+    log._reserve(99_997)
+    assert log.export("csv", "t") == "AE-99998"
     assert log.dispose("F-001", "CONFIRMED", "R", "the first comment", "t1") == "AE-99999"
     assert log.dispose("F-001", "DISMISSED", "R", "the second comment", "t2") == "AE-100000"
     assert [r.status for r in log.dispositions().collect()] == ["DISMISSED"]

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
+import time
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,56 +33,139 @@ def number_of(event_id: Column) -> Column:
 
 @dataclass
 class AuditLog:
-    """Events below path, each a file that is named by its number and created only if there is none.
-
-    So two writers never take one number, and the next number is known from the names alone.
+    """Events below path, in segments: what one call appends is one file, or one folder of files.
+
+    A writer first reserves a range of numbers: reservations are numbered files, each created only if
+    there is none of its number, that say which events they are for. So two writers never take one
+    event's number, and a writer goes on from the last reservation that it has seen; only its first
+    call lists any. Segments show once they are whole. A writer that is lost between its reservation
+    and its segment leaves a gap in the numbers, and one that is lost within its reservation an error
+    for the next, which names the file.
     """
 
     spark: SparkSession
     path: str
     ruleset: str = "1.0"
     actor: str = "system"
+    #: Seconds to wait for the text of another writer's reservation.
+    patience: float = 30.0
+
+    def __post_init__(self):
+        self._seen: tuple[int, int] | None = None  # the last reservation seen, and the last number that it took
 
     def events(self) -> DataFrame:
         try:
-            return self.spark.read.schema(AUDIT_EVENTS).json(self.path)
+            return self.spark.read.schema(AUDIT_EVENTS).option("recursiveFileLookup", True).json(self.path)
         except Exception as e:  # nothing was written yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return self.spark.createDataFrame([], AUDIT_EVENTS)
 
     def append(self, event_type: str, detail: str, timestamp: str, actor: str | None = None) -> str:
-        if event_type not in EVENTS:
-            raise ValueError(f"unknown event type {event_type}")
-        number = self._last() + 1
-        while True:
-            event = {"id": f"AE-{number:05d}", "timestamp": timestamp, "actor": actor or self.actor, "eventType": event_type, "detail": detail, "rulesetVersion": self.ruleset}
-            if self._created(number, json.dumps(event, ensure_ascii=False) + "\n"):
-                return event["id"]
-            number += 1
+        return self.append_all([(event_type, detail, timestamp, actor)])[0]
+
+    def append_all(self, events: Iterable[tuple[str, str, str, str | None]]) -> list[str]:
+        """Appends (type, detail, timestamp, actor) events as one segment; their ids."""
+        events = list(events)
+        for kind in {e[0] for e in events} - set(EVENTS):
+            raise ValueError(f"unknown event type {kind}")
+        if not events:
+            return []
+        first = self._reserve(len(events))
+        rows = [{"id": f"AE-{first + k:05d}", "timestamp": at, "actor": actor or self.actor, "eventType": kind, "detail": detail, "rulesetVersion": self.ruleset} for k, (kind, detail, at, actor) in enumerate(events)]
+        path, fs = self._files()
+        whole = self._path(path, f"{first:012d}.json")
+        writing = self._path(path, f"_writing-{first:012d}")
+        self._write(fs.create(writing, False), "".join(json.dumps(r, ensure_ascii=False) + "\n" for r in rows))
+        if not fs.rename(writing, whole):
+            raise OSError(f"{whole} could not be made of {writing}")
+        return [r["id"] for r in rows]
+
+    def append_table(self, events: DataFrame, order: list[str]) -> int:
+        """Appends the rows of events (eventType, detail, timestamp; and what order needs), in a total order, as one segment written by tasks; how many."""
+        rows = relational.cut(events)
+        if unknown := rows.where(~F.col("eventType").isin(*EVENTS) | F.col("eventType").isNull()).take(1):
+            raise ValueError(f"unknown event type {unknown[0]['eventType']}")
+        n = rows.count()
+        if n:
+            first = self._reserve(n)
+            number = (F.col("_number") + (first - 1)).cast("string")
+            ids = F.concat(F.lit("AE-"), F.when(F.length(number) < 5, F.lpad(number, 5, "0")).otherwise(number))
+            out = relational.dense_numbers(rows, order, "_number").select(ids.alias("id"), "timestamp", F.lit(self.actor).alias("actor"), "eventType", "detail", F.lit(self.ruleset).alias("rulesetVersion"))
+            out.write.json(f"{self.path.rstrip('/')}/{first:012d}")
+        return n
+
+    def snapshot(self, path: str) -> DataFrame:
+        """All events so far, in order, as one table elsewhere: segments merged for readers. The log stays as it is."""
+        self.events().withColumn("number", number_of(F.col("id"))).repartitionByRange("number").sortWithinPartitions("number").drop("number").write.parquet(path)
+        return self.spark.read.schema(AUDIT_EVENTS).parquet(path)
 
     def _files(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _last(self) -> int:
-        path, fs = self._files()
-        return max((int(x.getPath().getName()[:12]) for x in fs.listStatus(path)), default=0) if fs.exists(path) else 0
+    def _path(self, *parts):
+        for name in parts[1:]:
+            out = self.spark._jvm.org.apache.hadoop.fs.Path(parts[0], name)
+            parts = (out, *parts[2:])
+        return parts[0]
+
+    def _write(self, out, text: str) -> None:
+        data = bytearray(text.encode())
+        for k in range(0, len(data), 1 << 20):
+            out.write(data[k : k + (1 << 20)])
+        out.close()
 
-    def _created(self, number: int, line: str) -> bool:
-        """Whether the event's file was made here; another writer may have made it first."""
+    def _reserve(self, n: int) -> int:
+        """The first of n numbers that are this writer's alone."""
         path, fs = self._files()
-        own = self.spark._jvm.org.apache.hadoop.fs.Path(path, f"{number:012d}.json")
+        taken, last = self._seen or self._listed(path, fs)
+        while True:
+            own = self._path(path, "_numbers", f"{taken + 1:012d}")
+            if self._created(own, fs, f"{last + 1} {last + n}\n"):
+                self._seen = (taken + 1, last + n)
+                return last + 1
+            taken, last = taken + 1, self._last_of(own, fs)
+
+    def _created(self, own, fs, text: str) -> bool:
+        """Whether the file was made here; another writer may have made it first."""
+        if fs.getScheme() == "file":  # there Hadoop looks and then creates, in two steps
+            name = own.toUri().getPath()
+            os.makedirs(os.path.dirname(name), exist_ok=True)
+            try:
+                with open(name, "x") as out:
+                    out.write(text)
+            except FileExistsError:
+                return False
+            return True
         try:
             out = fs.create(own, False)
         except Exception:
             if not fs.exists(own):
                 raise
             return False
-        out.write(bytearray(line.encode()))
-        out.close()
+        self._write(out, text)
         return True
 
+    def _listed(self, path, fs) -> tuple[int, int]:
+        folder = self._path(path, "_numbers")
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        taken = max((int(x) for x in names if x.isdigit()), default=0)
+        return taken, (self._last_of(self._path(folder, f"{taken:012d}"), fs) if taken else 0)
+
+    def _last_of(self, own, fs) -> int:
+        """The last number of another writer's reservation; it may just be being written."""
+        until = time.monotonic() + self.patience
+        while True:
+            stream = fs.open(own)
+            text = bytes(stream.readAllBytes()).decode()
+            stream.close()
+            if text.endswith("\n"):
+                return int(text.split()[1])
+            if time.monotonic() > until:
+                raise OSError(f"the reservation {own} was never finished")
+            time.sleep(0.05)
+
     def dispose(self, finding: str, status: str, reviewer: str, comment: str, timestamp: str) -> str:
         """A reviewer's decision on a finding; the last one of a finding counts, all stay in the log."""
         if not reviewer.strip():

@@ -106,8 +106,7 @@ def run_pipeline(items: DataFrame, descriptors: DataFrame, pages: DataFrame | No
     say("STRUCTURE", {"sections": kept["sections"].count(), "paragraphs": kept["paragraphs"].count()})
     if options.get("log"):
         events = ingested(kept["documents"], kept["sections"], kept["paragraphs"])
-        for r in events.orderBy("docSeq").toLocalIterator():  # a row a document, one at a time
-            options["log"].append("DOCUMENT_INGESTED", r["detail"], options.get("timestamp", ""))
+        options["log"].append_table(events.select(F.lit("DOCUMENT_INGESTED").alias("eventType"), "detail", F.lit(options.get("timestamp", "")).alias("timestamp"), "docSeq", "documentId"), ["docSeq", "documentId"])
     return analyse(**kept, **options)
 
 
