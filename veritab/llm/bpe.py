@@ -126,7 +126,7 @@ def _encoding(file: str):
 def tokenized(docs: DataFrame, file: str | None = None, outputs: tuple[str, ...] = ("n_tokens", "ids"), text: str = "text", buckets: int | None = None) -> DataFrame:
     """docs without its text, with the outputs named: n_tokens, ids, ids_sha256, decoded_sha256, decoded."""
     file = file or default_file()
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in OUTPUTS])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in OUTPUTS])
     kinds = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(), "decoded": T.StringType()}
     schema = T.StructType([f for f in docs.schema.fields if f.name != text] + [T.StructField(o, kinds[o]) for o in outputs])
     staged = blocks.staged(docs, lambda texts: (split_words(x.as_py() or "", file) for x in texts), "veritab_bpe", text, buckets=buckets)

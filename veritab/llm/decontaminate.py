@@ -8,7 +8,7 @@ window with the words around the prefix word.
 
 Defined results. Null texts have no words. Items with a null id or no words take no part; an
 item_id that repeats stands for all its texts. Document rows are judged one by one, even if a
-doc_id repeats or is null; other columns pass through, but for those called like an output. An
+doc_id repeats or is null; other columns pass through, but for those called like an output, in any case. An
 empty benchmark hits nothing, an empty table gives an empty one. Long texts are read whole.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOTS, checkpointed, table
+from .common import HOTS, carried, checkpointed, table
 
 WINDOW = 10
 #: A side of a join is broadcast only if its words have this many bytes at most (counted first).
@@ -108,11 +108,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every row of docs (its text left out) with n_words, n_hit, items and contaminated."""
-    found = contamination(docs, benchmark, window).select(F.col("doc_id").alias("_veritab_d"), F.col("h").alias("_veritab_g"), F.col("n_hit").alias("_veritab_n"), F.col("items").alias("_veritab_i"))
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_words", "n_hit", "items", "contaminated")]
-    rows = docs.select(*keep, F.xxhash64("text").alias("_veritab_h"), F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), RAW_GAP), "")).cast("long").alias("n_words"))
-    out = rows.join(found, rows.doc_id.eqNullSafe(found._veritab_d) & (rows._veritab_h == found._veritab_g), "left")
-    return out.select(*keep, "n_words", F.coalesce("_veritab_n", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("_veritab_i", F.array().cast("array<string>")).alias("items"), F.col("_veritab_n").isNotNull().alias("contaminated"))
+    found = contamination(docs, benchmark, window).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "n_hit", "items")
+    row, columns = carried(docs, "text", "n_words", "n_hit", "items", "contaminated")
+    rows = docs.select(row, "doc_id", F.xxhash64("text").alias("h"), F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), RAW_GAP), "")).cast("long").alias("n_words"))
+    out = rows.join(found, rows.doc_id.eqNullSafe(found.d) & (rows.h == found.g), "left")
+    return out.select(*columns, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -230,7 +230,7 @@ def reports(index: Index, words: np.ndarray, starts: np.ndarray, lengths: np.nda
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, band: int = BAND, coverage: float = COVERAGE) -> DataFrame:
     """docs without its text, with reports: template, matched and all words, coverage, first and last word, span in bytes."""
     bounded_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("text", "reports")]
+    kept = [c for c in docs.columns if c.lower() not in ("text", "reports")]
     out, parts = docs.select(*[F.col(f"`{c}`") for c in [*kept, "text"]]), [[]]
     for name, text in sorted((default_templates() if templates is None else templates).items()):
         if sum(len(t or "") for _, t in parts[-1]) > 4 * INDEX_ENTRIES:  # four letters a word or more

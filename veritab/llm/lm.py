@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks
-from .common import bounded_batches, fold, table, written
+from .common import bounded_batches, carried, fold, table, written
 
 #: Words that are clustered first; classes; rounds over these words, and over all others.
 SEEDS, CLASSES, SEED_ROUNDS, ROUNDS = 1000, 48, 8, 2
@@ -407,8 +407,10 @@ def model_of(docs: DataFrame, staged: DataFrame, most: int = SEEDS, k: int = CLA
 
 def scored(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and others) without its text, with held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    docs, staged = prepared(docs)
-    return scored_by(model_of(docs, staged), docs, staged)
+    names = [o for o, _ in _OUTPUTS]
+    row, columns = carried(docs, "text", "held_out", *names)
+    docs, staged = prepared(docs.select(row, "doc_id", "text"))
+    return scored_by(model_of(docs, staged), docs, staged).select(*columns, "held_out", *names)
 
 
 _OUTPUTS = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]

@@ -236,7 +236,7 @@ def scored(docs: DataFrame, model: dict, text: str = "text", score: str = "score
 def quality(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
     """Every row of docs with held_out, score and predicted."""
     model = train(docs, labels, most)
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
     out = scored(docs.select(*keep), model)
     return out.withColumns({"held_out": F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)), "predicted": (F.col("score") >= THRESHOLD).cast("int")})
 

@@ -60,7 +60,8 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
 def ruled(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """pages with host, path, rule and the rule's verdict."""
     cut = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    return cut.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules)).withColumns({"rule": F.col("_r.rule"), "verdict": F.col("_r.verdict")}).drop("_r")
+    found = rule_of(F.col("host"), F.col("path"), rules)
+    return cut.withColumns({"rule": found["rule"], "verdict": found["verdict"]})
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
@@ -110,8 +111,9 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, thres
     mass = host_mass(judged, host_edges(pages), rounds=None)
     bad = checkpointed(mass.where(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))).select(F.col("host").alias("_bad")))
     side = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    out = judged.join(side, judged.host == side["_bad"], "left")
-    return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("_bad").isNotNull(), "block").otherwise("allow"))).drop("_bad")
+    out = judged.join(side, judged["host"] == side["_bad"], "left")
+    verdict = F.coalesce(judged["verdict"], F.when(side["_bad"].isNotNull(), "block").otherwise("allow")).alias("verdict")
+    return out.select(*[verdict if c == "verdict" else judged[f"`{c}`"] for c in judged.columns])
 
 
 def op5_urls(spark, sf_dir: str) -> DataFrame:

@@ -50,9 +50,10 @@ def record_types(pages: DataFrame) -> DataFrame:
     large = rows.where(F.col("payload_bytes") >= MIN_REVISIT).select("payload_digest", "page_id")
     repeated = checkpointed(large.groupBy("payload_digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("payload_digest").alias("_d"), "_first"))
     side = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
-    out = rows.join(side, (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") >= MIN_REVISIT), "left")
-    revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return out.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("_first"))}).drop("_d", "_first")
+    out = rows.join(side, (rows["payload_digest"] == side["_d"]) & (rows["payload_bytes"] >= MIN_REVISIT), "left")
+    revisit = side["_first"].isNotNull() & ~rows["page_id"].eqNullSafe(side["_first"])
+    made = {"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, side["_first"])}
+    return out.select(*[rows[f"`{c}`"] for c in rows.columns if c.lower() not in made], *[v.alias(c) for c, v in made.items()])
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
