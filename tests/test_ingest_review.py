@@ -133,7 +133,7 @@ def test_numbers_over_ranges(spark):
     assert [(r.a, r.b, r.i) for r in order] == sorted(((r.a, r.b, r.i) for r in got), key=lambda r: (-r[0], r[1], r[2]))
 
 
-def test_report(spark):
+def test_report(spark, tmp_path):
     findings = spark.createDataFrame([("F-002", "MINOR", "t2", "d2", 0.4, "why", "do", [("SAP", "v1", "1", 2, 4, "a snippet", "7")]), ("F-001", "CRITICAL", "t1", "d1", 0.9, "why", "do", [("CSR", "v2", "2", None, 1, "other", "8")])], "id string, severity string, title string, description string, confidence double, regulatoryContext string, suggestedAction string, o array<struct<documentType:string,version:string,sectionId:string,printedPage:int,pdfPage:int,snippet:string,value:string>>")
     findings = findings.select("*", F.transform("o", lambda o: F.struct(o["value"].alias("value"), F.struct(*[o[c].alias(c) for c in ("documentType", "version", "sectionId", "printedPage", "pdfPage", "snippet")]).alias("citation"))).alias("occurrences")).drop("o")
     checks = spark.createDataFrame([("AC-001", "CONFIRMED"), ("AC-002", "FAILED")], "id string, outcome string")
@@ -145,8 +145,11 @@ def test_report(spark):
     assert "Reviewer: ____" in texts[6]
     import json as j
 
-    doc = j.loads(writers.report_json({"study": "X"}, findings, checks, documents, {"reviewer": "R", "timestamp": "t"}).first().json)
+    writers.report_json({"study": "X"}, findings, checks, documents, str(tmp_path / "r.json"), {"reviewer": "R", "timestamp": "t"})
+    doc = j.loads((tmp_path / "r.json").read_text())
     assert doc["study"] == "X" and [x["id"] for x in doc["findings"]] == ["F-001", "F-002"] and len(doc["arithmetic"]) == 2 and doc["signOff"]["reviewer"] == "R"
+    writers.report_text(findings, checks, documents, str(tmp_path / "r.txt"), {"Study": "X"})
+    assert (tmp_path / "r.txt").read_text() == "\n\n".join(texts) + "\n"
     assert writers.printed_report(findings.limit(0), checks.limit(0), documents, sign_off={"reviewer": "R", "timestamp": "t"}).count() == 5
 
 

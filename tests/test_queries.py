@@ -3,7 +3,7 @@
 import pytest
 
 from tests.conftest import SF
-from veritab.plans import finding_queries, ingest_queries, rule_queries  # noqa: F401  (they add their queries)
+from veritab.plans import document_queries, finding_queries, ingest_queries, rule_queries  # noqa: F401  (they add their queries)
 from veritab.plans.queries import ORACLE_SQL, QUERIES
 
 duckdb = pytest.importorskip("duckdb")

@@ -219,9 +219,9 @@ def latest_decisions(spark, sf):
     return review.decisions(events).select("findingId", "status", "reviewer", "comment")
 
 
-@query("""SELECT 'AE-' || n AS id FROM (SELECT 99000 + row_number() OVER (ORDER BY event_id) AS n, event_type FROM events) WHERE event_type = 'error' ORDER BY n DESC LIMIT 50""")
+@query("""SELECT 'AE-' || n AS id, row_number() OVER (ORDER BY n DESC) AS place FROM (SELECT 99000 + row_number() OVER (ORDER BY event_id) AS n, event_type FROM events) WHERE event_type = 'error'""")
 def newest_events(spark, sf):
-    """The log's newest events of one type."""
+    """The log's events of one type, newest first, with their places in that list."""
     numbered = relational.dense_numbers(t(spark, sf, "events").select("event_id", "event_type"), ["event_id"], "n")
     events = numbered.select(F.concat(F.lit("AE-"), (F.col("n") + 99000).cast("string")).alias("id"), F.col("event_type").alias("eventType"))
-    return review.newest(events, "error").limit(50).select("id")
+    return relational.dense_numbers(review.newest(events, "error"), [-F.substring("id", 4, 20).cast("long")], "place").select("id", "place")

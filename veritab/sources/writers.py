@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.scalars import citation_label, fixed
 from veritab.model import SEVERITIES, position
 from veritab.operators.review import below_threshold
+from veritab.sources.document_sink import Frame, json_lists, write_document
 
 AUDIT = ["id", "timestamp", "actor", "eventType", "detail", "rulesetVersion"]
 
@@ -23,13 +24,28 @@ def csv_lines(events: DataFrame) -> DataFrame:
     return events.select("id", F.concat_ws(",", *quoted).alias("line"))
 
 
-def report_json(run: dict, findings: DataFrame, checks: DataFrame, documents: DataFrame, sign_off: dict | None = None) -> DataFrame:
-    """One row: the report as a JSON document. Findings and checks of a run are small."""
-    listed = lambda df, order: df.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_"), F.struct(*df.columns).alias("v")))).alias("l")).select(F.transform("l", lambda x: x["v"]).alias("l"))
-    head = {k: F.lit(v) for k, v in run.items()}
-    out = listed(documents, "documentId").withColumnRenamed("l", "documents").crossJoin(listed(checks, "id").withColumnRenamed("l", "arithmetic")).crossJoin(listed(findings, "id").withColumnRenamed("l", "findings"))  # single rows
-    signed = F.struct(*[F.lit(v).alias(k) for k, v in sign_off.items()]) if sign_off else F.lit(None).cast("struct<reviewer:string>")
-    return out.select(F.to_json(F.struct(*[v.alias(k) for k, v in head.items()], "documents", "arithmetic", "findings", signed.alias("signOff")), {"ignoreNullFields": "false"}).alias("json"))
+def audit_file(events: DataFrame, path: str) -> None:
+    """The CSV of audit_csv as one file, by tasks."""
+    header = ",".join(f'"{c}"' for c in AUDIT) + "\n"
+    number = F.substring("id", 4, 20).cast("long")
+    lines = csv_lines(events)
+    write_document([(Frame(header, "\n", "\n" if events.take(1) else ""), lines, "line", [number, "id"])], path)
+
+
+def _number(c: Column | str) -> Column:
+    """The number in an id like F-001."""
+    return F.regexp_extract(c, r"(\d+)$", 1).try_cast("decimal(38,0)")
+
+
+def report_json(run: dict, findings: DataFrame, checks: DataFrame, documents: DataFrame, path: str, sign_off: dict | None = None) -> None:
+    """The report as one JSON document at path: a line for each document, recomputation and finding, in order; no row holds them all."""
+    lists = [("documents", documents, ["documentId"]), ("arithmetic", checks, [_number("id"), "id"]), ("findings", findings, [_number("id"), "id"])]
+    json_lists(run, lists, {"signOff": sign_off}, path)
+
+
+def report_text(findings: DataFrame, checks: DataFrame, documents: DataFrame, path: str, run: dict | None = None, sign_off: dict | None = None) -> None:
+    """The printed report as one text file."""
+    write_document([(Frame("", "\n\n", "\n"), printed_report(findings, checks, documents, run, sign_off), "text", ["block", "ord"])], path)
 
 
 #: What a report says of itself.
