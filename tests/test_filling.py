@@ -57,3 +57,16 @@ def test_many_documents_and_a_long_one(spark):
     assert all(pages[f"D{i}"] == -(-(i % 130 + 1) // 50) for i in range(20_000))
     # 12.6 for the line and 12.6 of room: (684 - 12.6) // 25.2 + 1 = 27 lines a page, and 2,222 full pages and one more
     assert pages["long"] == -(-60_000 // 27)
+
+
+def test_pages_of_the_documents(spark):
+    """The registered query against the loop, over all documents of the smallest tables."""
+    from tests.conftest import SF
+    from veritab.plans.document_queries import filled_pages
+
+    got = {r.documentId: (r.pdfPages, r.printedPages, r.pageOffset) for r in filled_pages(spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text").collect()
+    assert len(got) == len(docs)
+    for r in docs:
+        most = max(x[1] for x in item_rows("d", [Block("heading", r.source or ""), Block("para", r.text or "")], "h", 1))
+        assert got[str(r.doc_id)] == (most, most - 1, 1)

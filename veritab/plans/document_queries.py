@@ -25,3 +25,55 @@ def json_document(spark, sf):
     lines = relational.cut(spark.read.text(path).withColumn("_at", F.col("_metadata.file_block_start")).withColumn("_i", F.monotonically_increasing_id()))
     own = lines.where(F.col("value").startswith('{"list"')).select("_at", "_i", F.from_json(F.regexp_replace("value", ",$", ""), "list string, key bigint, name string").alias("v"))
     return relational.dense_numbers(own, ["_at", "_i"], "line").select("line", "v.list", "v.key", "v.name")
+
+
+#: Parts as findings and as planted items; figures in hundredths, so that both dialects say the same.
+PLANTED = """f AS (SELECT 'F-' || p_partkey AS id, p_brand AS concept, CASE WHEN p_size % 2 = 0 THEN 'CROSS_DOCUMENT' ELSE 'INTRA_DOCUMENT' END AS scope, CASE p_size % 3 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'MAJOR' ELSE 'MINOR' END AS severity,
+  (p_size % 20 * 5) / 1e2 AS confidence, p_size % 5 > 0 AS noted, p_name || ' of ' || p_type || ' size ' || p_size || ' ' || p_type || ' raw ' || p_name || ' in ' || p_brand AS said FROM part),
+m AS (SELECT n_nationkey * 1000 + r_regionkey * 100 + k AS no, 'Brand#' || (n_nationkey + 1) AS concept, CASE r_regionkey WHEN 0 THEN 'CROSS_DOCUMENT' WHEN 1 THEN 'INTRA_DOCUMENT' END AS scope, CASE k % 3 WHEN 0 THEN 'DECOY' ELSE 'FINDING' END AS kind,
+  CASE k % 3 WHEN 0 THEN 'MINOR' WHEN 1 THEN 'MAJOR' ELSE 'CRITICAL' END AS severity, CASE k WHEN 0 THEN NULL WHEN 1 THEN 'widget of' WHEN 2 THEN '7' WHEN 3 THEN 'PROMO raw' WHEN 4 THEN 'size 1' ELSE 'nowhere' END AS evidence FROM nation, region, range(6) t(k))"""
+
+
+def planted(spark, sf):
+    """(findings, manifest) of the tables: a finding for each part, an item for each nation, region and text."""
+    e = F.expr
+    findings = t(spark, sf, "part").select(
+        e("concat('F-', p_partkey) AS id"), e("p_brand AS conceptKey"), e("CASE WHEN p_size % 2 = 0 THEN 'CROSS_DOCUMENT' ELSE 'INTRA_DOCUMENT' END AS scope"), e("CASE p_size % 3 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'MAJOR' ELSE 'MINOR' END AS severity"),
+        e("(p_size % 20 * 5) / 100D AS confidence"), e("CASE WHEN p_size % 5 > 0 THEN 'noted' END AS benignNote"), e("p_name AS title"), e("concat('of ', p_type, ' size ', p_size) AS description"),
+        e("array(named_struct('entityId', '', 'value', p_type, 'rawText', concat('raw ', p_name), 'citation', named_struct('snippet', concat('in ', p_brand)))) AS occurrences"), e("repeat('c', 41) AS regulatoryContext"), e("repeat('a', 21) AS suggestedAction"))
+    texts = t(spark, sf, "nation").select("n_nationkey").crossJoin(F.broadcast(t(spark, sf, "region").select("r_regionkey"))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5))))  # five regions
+    manifest = texts.select(
+        e("CAST(n_nationkey * 1000 + r_regionkey * 100 + k AS string) AS id"), e("'' AS summary"), e("CASE k % 3 WHEN 0 THEN 'DECOY' ELSE 'FINDING' END AS kind"), e("CASE k % 3 WHEN 0 THEN 'MINOR' WHEN 1 THEN 'MAJOR' ELSE 'CRITICAL' END AS severity"), e("concat('Brand#', n_nationkey + 1) AS conceptKey"),
+        e("CASE r_regionkey WHEN 0 THEN 'CROSS_DOCUMENT' WHEN 1 THEN 'INTRA_DOCUMENT' END AS scope"), e("CASE k WHEN 1 THEN 'widget of' WHEN 2 THEN '7' WHEN 3 THEN 'PROMO raw' WHEN 4 THEN 'size 1' WHEN 5 THEN 'nowhere' END AS evidence"), e("CAST(NULL AS string) AS arithmetic"), e("CAST(NULL AS int) AS resolvedCrossReferences"))
+    return findings, manifest
+
+
+@query(f"""WITH {PLANTED}, j AS (SELECT no, kind, m.severity AS wanted, f.* EXCLUDE (concept, scope) FROM m LEFT JOIN f ON m.concept = f.concept AND (m.scope IS NULL OR m.scope = f.scope) AND contains(f.said, coalesce(m.evidence, ''))),
+o AS (SELECT no, kind, count(id) AS found, bool_or(severity = wanted) AS graded, max(confidence) AS most, min(confidence) AS least, arg_min(severity, (confidence, length(id), id)) AS low, arg_min(noted, (confidence, length(id), id)) AS noted FROM j GROUP BY ALL)
+SELECT CAST(no AS VARCHAR) AS id, kind, found, CASE kind WHEN 'DECOY' THEN least ELSE most END AS confidence, CASE kind WHEN 'DECOY' THEN coalesce(least < 5e-1 AND low = 'MINOR' AND noted, false) ELSE coalesce(graded AND most >= 5e-1, false) END AS met FROM o""")
+def planted_items(spark, sf):
+    """What was found of each planted item."""
+    from veritab.operators import golden
+
+    return golden.outcomes(*planted(spark, sf)).select("id", "kind", "found", "confidence", "met")
+
+
+@query(f"""WITH {PLANTED}, s AS (SELECT * FROM f WHERE confidence >= 5e-1)
+SELECT (SELECT count(*) FROM s) AS sure, (SELECT count(*) FROM s WHERE EXISTS (SELECT 1 FROM m WHERE kind = 'FINDING' AND m.concept = s.concept AND (m.scope IS NULL OR m.scope = s.scope) AND contains(s.said, coalesce(m.evidence, '')))) AS planted,
+  (SELECT count(*) FROM s WHERE EXISTS (SELECT 1 FROM m WHERE kind = 'FINDING' AND m.concept = s.concept AND (m.scope IS NULL OR m.scope = s.scope) AND contains(s.said, coalesce(m.evidence, '')))) / (SELECT count(*) FROM s) AS "precision" """)
+def planted_precision(spark, sf):
+    """The share of sure findings that were planted."""
+    from veritab.operators import golden
+
+    return golden.precision(*planted(spark, sf))
+
+
+@query()
+def filled_pages(spark, sf):
+    """The map of the pages that the whole texts of all documents fill, one paragraph each under a heading."""
+    from veritab.sources import filling
+
+    docs = t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("documentId"), "source", "text")
+    blocks = docs.select("documentId", F.explode(F.array(F.struct(F.lit(0).alias("blockSeq"), F.lit("heading").alias("kind"), F.col("source").alias("text")), F.struct(F.lit(1).alias("blockSeq"), F.lit("para").alias("kind"), F.col("text")))).alias("b")).select("documentId", "b.*", F.lit(None).cast("array<string>").alias("rows"))
+    documents = docs.select(F.col("documentId").alias("id"), F.lit("SAP").alias("type"), *[F.lit("").alias(c) for c in ("fileName", "title", "version", "effectiveDate", "author")], F.lit(0).alias("docSeq"), F.lit("").alias("header"), F.lit(1).alias("leaves"))
+    return filling.corpus(documents, blocks)["page_map"].select("documentId", "pdfPages", "printedPages", "pageOffset")

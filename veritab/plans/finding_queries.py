@@ -285,7 +285,7 @@ def section_flows(spark, sf):
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Dose regimen' WHEN 1 THEN 'Acronym' WHEN 2 THEN 'Crf mapping' ELSE 'Spelling' END AS label,
-CASE p_partkey % 4 WHEN 0 THEN 'A dose that differs between documents may be given to subjects.' WHEN 1 THEN 'An acronym stands for one thing.' WHEN 2 THEN 'Pages are found by their names.' ELSE 'Slips of language make readers doubt figures as well.' END AS context, starts_with('ok', 'o') AS acts FROM part""")
+CASE p_partkey % 4 WHEN 0 THEN 'A dose that differs between documents may be given to subjects.' WHEN 1 THEN 'An acronym stands for one thing wherever a reader meets it.' WHEN 2 THEN 'Pages of a form are looked up by their names.' ELSE 'Slips of language make readers doubt figures as well.' END AS context, starts_with('ok', 'o') AS acts FROM part""")
 def concept_profiles(spark, sf):
     """What findings on concepts are called and why they matter, by concept, family and category."""
     k = F.col("p_partkey") % 4
