@@ -77,3 +77,23 @@ def filled_pages(spark, sf):
     blocks = docs.select("documentId", F.explode(F.array(F.struct(F.lit(0).alias("blockSeq"), F.lit("heading").alias("kind"), F.col("source").alias("text")), F.struct(F.lit(1).alias("blockSeq"), F.lit("para").alias("kind"), F.col("text")))).alias("b")).select("documentId", "b.*", F.lit(None).cast("array<string>").alias("rows"))
     documents = docs.select(F.col("documentId").alias("id"), F.lit("SAP").alias("type"), *[F.lit("").alias(c) for c in ("fileName", "title", "version", "effectiveDate", "author")], F.lit(0).alias("docSeq"), F.lit("").alias("header"), F.lit(1).alias("leaves"))
     return filling.corpus(documents, blocks)["page_map"].select("documentId", "pdfPages", "printedPages", "pageOffset")
+
+
+@query("""SELECT 'C' || o_custkey AS doc, row_number() OVER w - 1 AS seq, o_orderpriority AS text, 10 + 2 * sum(o_orderkey % 7) OVER w AS x, 20 - 24 * row_number() OVER w AS y, 10 * length(o_orderpriority) AS width, 20 AS height, 0 AS turn
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)""")
+def text_items(spark, sf):
+    """Orders of each customer as text operators under a matrix of scale two, as positioned items."""
+    from veritab.sources import text_state
+
+    orders = t(spark, sf, "orders").select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("documentId"), "o_custkey", "o_orderkey", "o_orderpriority")
+    nothing = {"args": F.array().cast("array<double>"), "font": F.lit(None).cast("string"), "text": F.lit(None).cast("string"), "advance": F.lit(None).cast("double")}
+    op = lambda df, seq, name, **own: df.select("documentId", F.lit(1).alias("pdfPage"), seq.cast("long").alias("opSeq"), F.lit(name).alias("op"), *[own.get(k, v).alias(k) for k, v in nothing.items()])
+    numbers = lambda *x: F.array(*[F.lit(float(v)) for v in x])
+    heads = orders.select("documentId").distinct()
+    parts = [op(heads, F.lit(-3), "cm", args=numbers(2, 0, 0, 2, 10, 20)), op(heads, F.lit(-2), "BT"), op(heads, F.lit(-1), "Tf", args=numbers(10), font=F.lit("F"))]
+    parts += [op(orders, F.col("o_orderkey") * 2, "Td", args=F.array((F.col("o_orderkey") % 7).cast("double"), F.lit(-12.0))), op(orders, F.col("o_orderkey") * 2 + 1, "Tj", text=F.col("o_orderpriority"), advance=F.length("o_orderpriority") * 500.0)]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    whole = lambda c: F.round(c).cast("long").alias(c)
+    return text_state.items_of(rows).select(F.col("documentId").alias("doc"), F.col("itemSeq").cast("long").alias("seq"), "text", whole("x"), whole("y"), whole("width"), whole("height"), F.col("rotation").alias("turn"))
