@@ -159,6 +159,13 @@ def test_files_and_decoder(spark, tmp_path):
     wanted = spark.createDataFrame([("D", "SAP", "x_sap.pdf", "T", "v1", "", "")], DESCRIPTORS)
     files = readers.corpus_files(spark, str(tmp_path / "pdf"), wanted)
     assert files.count() == 1 and [(r.id, r.type) for r in readers.found_files(spark, str(tmp_path / "pdf")).collect()] == [("x_sap", "SAP")]
+    for folder in ("b", "a"):  # a name in several folders is one document
+        (tmp_path / "pdf" / folder).mkdir()
+        (tmp_path / "pdf" / folder / "twice.pdf").write_bytes(folder.encode())
+    named = lambda name: [bytes(r.content) for r in readers.corpus_files(spark, str(tmp_path / "pdf"), wanted.withColumn("fileName", F.lit(name))).collect()]
+    assert named("twice.pdf") == [b"a"] and named("b/twice.pdf") == [b"b"]
+    with pytest.raises(FileNotFoundError):
+        named("ice.pdf")
     with pytest.raises(FileNotFoundError):
         readers.corpus_files(spark, str(tmp_path / "pdf"), wanted.withColumn("fileName", F.lit("none.pdf")))
     pages = lambda data: [[{"text": t, "x": 0.0, "y": 700.0 - k, "width": 9.0, "height": 9.0, "rotation": 0, "fontFamily": "Times"} for k, t in enumerate(p.split("|"))] for p in data.decode().split("\f")]

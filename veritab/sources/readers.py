@@ -37,12 +37,16 @@ def document_type(file_name: Column) -> Column:
 
 
 def corpus_files(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """Descriptors joined with the bytes of the files that they name; a missing file is an error."""
-    files = spark.read.format("binaryFile").load(path).withColumn("fileName", F.element_at(F.split("path", "/"), -1))
-    missing = wanted.join(files, "fileName", "left_anti").select("fileName").limit(10).collect()
+    """Descriptors joined with the bytes of the files that they name: of several files of a name in different folders the first by path. A missing file is an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    names = wanted.select("fileName").distinct().withColumn("_base", base("fileName"))
+    ends = F.endswith("_path", F.concat(F.lit("/"), F.col("fileName")))
+    first = names.join(files.select(F.col("path").alias("_path"), base("path").alias("_base")), "_base").where(ends).groupBy("fileName").agg(F.min("_path").alias("_path"))
+    missing = wanted.join(first, "fileName", "left_anti").select("fileName").limit(10).collect()
     if missing:
         raise FileNotFoundError(f"no file for {[r[0] for r in missing]}")
-    return wanted.join(files.select("fileName", "content"), "fileName")
+    return wanted.join(first, "fileName").join(files.select(F.col("path").alias("_path"), "content"), "_path").drop("_path")
 
 
 def found_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
