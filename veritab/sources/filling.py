@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veritab.operators import relational, scans
+from veritab.plans.scratch import stored
 from veritab.sources import fixtures as G
 
 RANGE = 512
@@ -61,7 +62,8 @@ def lines_of(blocks: DataFrame) -> DataFrame:
         F.when(kind == "heading", F.array(text)).when(kind == "code", rows).when(kind == "table", titled)
         .when(kind == "bullets", F.transform(titled, lambda x: F.concat(F.lit("- "), x))).otherwise(wrapped(F.when(kind == "redaction", F.lit("PPD")).otherwise(text)))
     )
-    laid = blocks.select("documentId", "blockSeq", kind.alias("kind"), own.alias("own")).withColumn("n", F.size("own").cast("long")).where("n > 0").withColumn("tail", _of(F.col("kind"), 4, True))
+    # Behind an explode the folds over words are not repeated for what is made of their lines.
+    laid = blocks.select("documentId", "blockSeq", kind.alias("kind"), F.explode(F.array(own)).alias("own")).withColumn("n", F.size("own").cast("long")).where("n > 0").withColumn("tail", _of(F.col("kind"), 4, True))
     placed = scans.running(laid, ["documentId"], ["blockSeq"], sums=["n"], lasts=["tail"])
     each = placed.select("documentId", "kind", F.col("before_n").alias("_first"), (F.coalesce("last_tail", F.lit(0)) + _of(F.col("kind"), 3, True)).alias("_gap"), F.posexplode("own").alias("_i", "text"))
     return each.select("documentId", (F.col("_first") + F.col("_i")).alias("lineNo"), "text", _of(F.col("kind"), 1).alias("size"), _of(F.col("kind"), 0).alias("fontFamily"), F.when(F.col("_i") == 0, F.col("_gap")).otherwise(0).cast("long").alias("gap"), _of(F.col("kind"), 2, True).cast("long").alias("step"))
@@ -127,12 +129,14 @@ def corpus(documents: DataFrame, blocks: DataFrame, per_page: int = 50, range_li
     """
     known = documents.withColumn("documentId", F.col("id")).withColumn("header", F.coalesce(F.nullif(F.col("header"), F.lit("")), F.col("title"), F.lit(""))).withColumn("leaves", F.coalesce(F.col("leaves"), F.lit(1)).cast("int"))
     head = relational.cut(known.select("documentId", "type", "version", "fileName", "header", "leaves"))
-    filled = relational.cut(pages_of(lines_of(blocks.join(head.select("documentId"), "documentId", "left_semi")), per_page, range_lines))
+    # Texts are stored once, as Parquet; pages are filled from numbers alone.
+    lines = stored([lines_of(blocks.join(head.select("documentId"), "documentId", "left_semi"))], "lines")
+    filled = relational.cut(pages_of(lines.select("documentId", "lineNo", "gap", "step"), per_page, range_lines))
     totals = relational.cut(head.join(filled.groupBy("documentId").agg(F.max("page").alias("total"), F.count("*").alias("lines")), "documentId", "left").withColumn("total", F.coalesce("total", F.lit(1))))
     first = F.row_number().over(Window.partitionBy("documentId", "page").orderBy("lineNo")) - 1
     at = relational.looked_up(filled.withColumn("itemSeq", first), totals.select("documentId", "leaves"), "documentId").withColumn("pdfPage", F.col("page") + F.col("leaves"))
     item = lambda page, seq, text, x, y, size, turn, font: (F.col("documentId"), page.cast("int").alias("pdfPage"), seq.cast("int").alias("itemSeq"), text.alias("text"), x.cast("double").alias("x"), y.cast("double").alias("y"), (0.5 * size * F.length(text)).alias("width"), size.cast("double").alias("height"), F.lit(turn).alias("rotation"), font.alias("fontFamily"))
-    body = at.select(*item(F.col("pdfPage"), F.col("itemSeq"), F.col("text"), F.lit(G.LEFT), F.col("y") / 100, F.col("size"), 0, F.col("fontFamily")))
+    body = at.join(lines.select("documentId", "lineNo", "text", "size", "fontFamily"), ["documentId", "lineNo"]).select(*item(F.col("pdfPage"), F.col("itemSeq"), F.col("text"), F.lit(G.LEFT), F.col("y") / 100, F.col("size"), 0, F.col("fontFamily")))
     sheets = totals.withColumn("pdfPage", F.explode(F.sequence(F.lit(1), F.col("leaves") + F.col("total")))).withColumn("number", F.col("pdfPage") - F.col("leaves"))
     counts = at.groupBy("documentId", "pdfPage").agg(F.count("*").alias("n"))
     sheets = sheets.join(counts, ["documentId", "pdfPage"], "left").withColumn("n", F.when(F.col("number") < 1, 1).otherwise(F.coalesce("n", F.lit(0))))
