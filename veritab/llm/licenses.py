@@ -2,9 +2,11 @@
 
 Templates are cut into words, shingles of GRAM words are hashed, and winnowing keeps the smallest
 hash of every WINDOW in a row. An inverted index of these names the templates that a text shares
-a fingerprint with, and where. From each such place in turn, unless a span that was found holds it,
-the template and the text's words are aligned within a band of BAND words, or of the share that may be missing; what is found splits the
-text, and both sides are looked at alone, so a notice that follows itself is found each time. A
+a fingerprint with, and where. The diagonals of such places are chained over stretches of a template's
+length; a chain, and then a diagonal, is looked at only if enough of the template's words stand there
+in order, which no band can better. From each such place in turn, unless a span that was found holds it,
+the template and the text's words are aligned within a band of BAND words, or of the share that may be
+missing; what is found splits the text, and both sides are looked at alone, so a notice that follows itself is found each time. A
 report has the template's matched words, its coverage and the span in the text.
 
 Templates are a parameter. Those given here are the whole texts in license_texts/, and the notices
@@ -135,6 +137,39 @@ def aligned(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tu
     return most, last - back, last
 
 
+def _places(template: np.ndarray) -> dict[int, int]:
+    """For each word of the template its places, as the bits of a whole number."""
+    out: dict[int, int] = {}
+    for k, word in enumerate(template.tolist()):
+        out[word] = out.get(word, 0) | 1 << k
+    return out
+
+
+def _in_order(places: dict[int, int], n: int, part: np.ndarray) -> int:
+    """The longest common subsequence of the template (its places, n words) and part, wherever it lies: no band has more.
+
+    A row of the table at a time, in the bits of a whole number: a zero bit is a place at which the length grows.
+    """
+    full = (1 << n) - 1
+    row = full
+    for word in part.tolist():
+        same = row & places.get(word, 0)
+        if same:
+            row = (row + same | row - same) & full
+    return n - row.bit_count()
+
+
+def _chains(shifts: list[int], n: int) -> dict[int, tuple[int, int]]:
+    """The chain of each diagonal: the first and the last of those that lie within n words; they are judged at once."""
+    out, chain = {}, []
+    for d in [*sorted(set(shifts)), None]:
+        if chain and (d is None or d - chain[0] > n):
+            out |= dict.fromkeys(chain, (chain[0], chain[-1]))
+            chain = []
+        chain.append(d)
+    return out
+
+
 class Index:
     """The inverted index of the templates' fingerprints."""
 
@@ -180,18 +215,24 @@ class Index:
 def spans(template: np.ndarray, words: np.ndarray, seeds: list[tuple[int, int]], band: int, coverage: float) -> list[tuple[int, int, int]]:
     """(matched words, first, last) of the places where the template stands, found from seeds that are in order; they do not overlap."""
     n, found, stretches = len(template), [], [(0, len(words) - 1, 0, len(seeds))]
+    places = _places(template)
     starts = [place for place, _ in seeds]
     while stretches:
         low, high, s, e = stretches.pop()
-        tried = set()
+        chains, tried, hopeless = _chains([place - at for place, at in seeds[s:e]], n), set(), {}
         for place, at in seeds[s:e]:
             shift = place - at
             if shift in tried:
                 continue
             tried.add(shift)
+            near, far = chains[shift]
+            if near not in hopeless:
+                hopeless[near] = _in_order(places, n, words[max(low, near - band) : min(high, far + n - 1 + band) + 1]) < coverage * n
+            if hopeless[near]:
+                continue
             first, last = max(low, shift - band), min(high, shift + n - 1 + band)
             part = words[first : last + 1]
-            if np.isin(template, part).sum() < coverage * n:  # no alignment has more
+            if _in_order(places, n, part) < coverage * n:
                 continue
             most, a, b = aligned(template, part, shift - first, band)
             if most >= coverage * n and most >= DENSITY * (b - a + 1):
