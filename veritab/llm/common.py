@@ -97,6 +97,15 @@ def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
     return checkpointed(counts.where((F.col("rows") > max(HOT_ROWS, total // HOTS)) & F.col(key).isNotNull()))
 
 
+#: Rows of two numbers that a partition may have.
+LINKS = 1 << 20
+
+
+def few(links: DataFrame, rows: int) -> DataFrame:
+    """links, of which there are that many, in as many partitions as they need: small tables leave few files, and one partition no shuffle."""
+    return links.coalesce(max(1, -(-rows // LINKS)))
+
+
 def looked_up(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined with table, which has a row a key: rows of hot keys stay where they are, all others are shuffled.
 
