@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions import scalars as S
-from veritab.functions.matches import matches
+from veritab.functions.matches import let, matches
 from veritab.operators import relational
 from veritab.operators.catalogue import BY_ID, ORDER
 from veritab.operators.rules import attributes_of, gate, hit, tagged
@@ -68,20 +68,22 @@ def references(paragraphs: DataFrame, sections: DataFrame) -> DataFrame:
     plain, titled = "crossref.reference_resolution", "crossref.numbered_title_reference"
     near = F.transform(matches(text, SUBJECT, 1), lambda m: F.struct(m["index"].alias("at"), m["m"][1].alias("subject")))
 
-    def subject_of(index: Column) -> Column:
-        own = F.filter(near, lambda s: (index >= s["at"]) & (index <= s["at"] + 40))
-        return F.when(F.size(own) > 0, F.element_at(F.transform(own, lambda s: s["subject"]), -1))
+    def subject_of(subjects: Column, index: Column) -> Column:
+        own = F.filter(subjects, lambda s: (index >= s["at"]) & (index <= s["at"] + 40))
+        return F.get(F.transform(F.slice(F.reverse(own), 1, 1), lambda s: s["subject"]), F.lit(0))
 
     found = F.filter(matches(text, REFERENCE, 1), lambda m: F.substr(text, m["index"] + F.length(m["m"][0]) + 1, F.lit(1)) != ":")
     shape = lambda rule, m, to, subject: F.struct(F.lit(rule).alias("rule"), m["index"].alias("index"), m["m"][0].alias("raw"), to.alias("target"), subject.alias("subject"))
-    one = F.transform(found, lambda m: shape(plain, m, target(m["m"][1]), subject_of(m["index"])))
+    one = let({"found": found, "near": near}, lambda v: F.transform(v["found"], lambda m: shape(plain, m, target(m["m"][1]), subject_of(v["near"], m["index"]))))
     two = F.transform(matches(text, TITLED, 2), lambda m: shape(titled, m, F.concat(F.lit("APPENDIX "), m["m"][1]), m["m"][2]))
-    empty = F.filter(one, lambda _: F.lit(False))
-    each = paragraphs.select("*", F.posexplode(F.concat(F.when(gate(BY_ID[plain]), one).otherwise(empty), F.when(gate(BY_ID[titled]), two).otherwise(empty))).alias("_pos", "_r"))
+    empty = F.array().cast("array<struct<rule:string,index:int,raw:string,target:string,subject:string>>")
+    each = relational.dealt(paragraphs).select("*", F.posexplode(F.concat(F.when(gate(BY_ID[plain]), one).otherwise(empty), F.when(gate(BY_ID[titled]), two).otherwise(empty))).alias("_pos", "_r"))
     each = each.withColumn("_subject", S.content_tokens(F.col("_r.subject")))
     bare = sections.select("documentId", "sectionSeq", F.regexp_replace("id", r"#\d+$", "").alias("bare"), "heading")
     cited = bare.groupBy("documentId", F.upper("bare").alias("_to")).agg(F.min_by("heading", "sectionSeq").alias("_cited"))
-    each = each.withColumn("_to", F.upper("_r.target")).join(cited, ["documentId", "_to"], "left")
+    cited = relational.cut(cited.select(F.struct("documentId", "_to").alias("_at"), "_cited", S.content_tokens(F.col("_cited")).alias("_cites")))
+    each = relational.cut(each.withColumn("_to", F.upper("_r.target")).withColumn("_at", F.struct("documentId", "_to")))
+    each = relational.looked_up(each, cited, "_at", "left").drop("_at")  # rows stay in the tasks that they were dealt to
     # The best section for a described reference: most shared tokens, the first of ties.
     each = relational.cut(each.withColumn("_ask", F.when(F.col("_subject").isNotNull(), F.struct(F.col("documentId").alias("key"), F.col("_subject").alias("subject")))))
     held = bare.select(F.col("documentId").alias("key"), F.col("sectionSeq").alias("seq"), S.content_tokens(F.col("heading")).alias("tokens"))
@@ -89,8 +91,8 @@ def references(paragraphs: DataFrame, sections: DataFrame) -> DataFrame:
     best = best.join(bare.select(F.col("documentId").alias("key"), F.col("sectionSeq").alias("seq"), "bare", "heading"), ["key", "seq"])
     best = best.select(F.struct("key", "subject").alias("_ask"), F.struct("bare", "heading", F.col("score").alias("_s")).alias("_best"))
     each = relational.looked_up(each, relational.cut(best), "_ask", "left")
-    cited_score = S.overlap(F.col("_subject"), S.content_tokens(F.col("_cited")))
-    wrong = F.coalesce((F.col("_best._s") > cited_score) & (F.upper("_best.bare") != F.col("_to")), F.lit(False))
+    each = each.withColumn("_wrong", F.coalesce((F.col("_best._s") > S.overlap(F.col("_subject"), F.col("_cites"))) & (F.upper("_best.bare") != F.col("_to")), F.lit(False)))
+    wrong = F.col("_wrong")
     absent = F.col("_cited").isNull()
     value = (
         F.when(absent, F.concat(F.lit("UNRESOLVED — "), F.col("_r.target"), F.lit(" does not exist in this document")))
@@ -108,21 +110,21 @@ def page_references(paragraphs: DataFrame, abbreviations: DataFrame) -> DataFram
 
     def name_of(prefix: Column) -> Column:
         tokens = F.filter(F.split(F.trim(prefix), W + "+"), lambda t: (t != "") & (F.lower(t) != "ecrf"))
-        last = F.aggregate(F.transform(tokens, lambda t, i: F.when(F.lower(t).isin(ARTICLES), i).otherwise(-1)), F.lit(-1), lambda a, i: F.greatest(a, i))
-        after = F.slice(tokens, last + 2, F.greatest(F.size(tokens), F.lit(1)))
-        name = F.trim(F.regexp_replace(F.array_join(after, " "), "[,;:]$", ""))
-        return F.when((last >= 0) & (F.length(name) >= 2), name)
+        last = lambda v: F.aggregate(F.transform(v["tokens"], lambda t, i: F.when(F.lower(t).isin(ARTICLES), i).otherwise(-1)), F.lit(-1), lambda a, i: F.greatest(a, i))
+        after = lambda v: F.when(v["last"] >= 0, F.slice(v["tokens"], v["last"] + 2, F.greatest(F.size(v["tokens"]), F.lit(1))))
+        name = lambda v: F.trim(F.regexp_replace(F.array_join(after(v), " "), "[,;:]$", ""))
+        return let({"tokens": tokens}, lambda v: let({"tokens": v["tokens"], "last": last(v)}, lambda v: let({"name": name(v)}, lambda v: F.when(F.length(v["name"]) >= 2, v["name"]))))
 
     named = F.filter(F.transform(matches(F.col("text"), PAGE, 1), lambda m: F.struct(m["index"].alias("index"), m["m"][0].alias("raw"), name_of(m["m"][1]).alias("name"))), lambda m: m["name"].isNotNull())
-    first = F.filter(named, lambda m, k: F.array_position(F.transform(named, lambda o: o["name"]), m["name"]) == k + 1)
-    each = paragraphs.where(gate(BY_ID[rule])).select("*", F.posexplode(first).alias("_pos", "_m"))
+    first = let({"named": named}, lambda v: let({"named": v["named"], "names": F.transform(v["named"], lambda o: o["name"])}, lambda v: F.filter(v["named"], lambda m, k: F.array_position(v["names"], m["name"]) == k + 1)))
+    each = relational.cut(relational.dealt(paragraphs).where(gate(BY_ID[rule])).select("*", F.posexplode(first).alias("_pos", "_m")))
     known = abbreviations.groupBy("documentId", F.lower("acronym").alias("_a")).agg(F.max_by("expansion", "abbrSeq").alias("_x"))
     words = each.select("documentId", "docSeq", "sectionSeq", "paraSeq", "_pos", F.posexplode(F.split("_m.name", W + "+")).alias("_k", "_w"), F.size(F.split("_m.name", W + "+")).alias("_n"))
     spelt = words.withColumn("_a", F.when((F.col("_n") == 1) | F.col("_w").rlike(r"^\(.*\)$"), F.lower(F.regexp_replace("_w", "[()]", "")))).join(known, ["documentId", "_a"], "left")
     key = ["documentId", "docSeq", "sectionSeq", "paraSeq", "_pos"]
     whole = spelt.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.coalesce("_x", "_w").alias("w")))), lambda x: x["w"]), " ").alias("_name"))
-    tokens = F.array_distinct(S.content_tokens(F.col("_name")))
-    each = each.join(whole, key).withColumn("_tokens", tokens).where(F.size("_tokens") > 0)
+    whole = whole.withColumn("_tokens", F.array_distinct(S.content_tokens(F.col("_name"))))
+    each = each.join(whole, key).where(F.size("_tokens") > 0)
     return with_rule(each, rule, paragraphs.columns, F.col("_pos"), hit(F.lit("crf_page.reference"), S.tidy(F.col("_m.raw")), F.col("_m.name"), none(), F.col("_m.index"), attributes_of({"tokens": F.array_join("_tokens", "|")})))
 
 
