@@ -10,7 +10,8 @@ labels or the benchmark hold nothing, the stages that learn or look up keep what
 - quality: rows are kept if score >= 0.3. A text without lines has the score of its features alone;
   a doc_id that is labelled several times teaches its greatest label. Without any label, rows are kept.
 - toxicity: rows are kept if score < 0.5. Without any label, rows are kept.
-- near-dedup: of the rows that links of similarity 0.8 or more connect, the one with the smallest
+- near-dedup: rows meet by SimHash, as in op9_simhash, and by MinHash, and each link is verified on whole
+  texts; of the rows that links of similarity 0.8 or more connect, the one with the smallest
   doc_id stays (a null doc_id is the greatest; of equal ones the least hash of the text). Texts
   without words are copies of each other.
 - decontamination: rows that hold a window of ten consecutive words of an item, or a whole shorter

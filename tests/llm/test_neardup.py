@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tests.conftest import SF
 from veritab.llm import neardup
 
@@ -116,3 +118,17 @@ def test_stage_on_the_table(spark):
     got = dict(P.STAGES)["near-dedup"](spark, docs, SF)
     assert got.columns == docs.columns
     assert sorted(x.doc_id for x in got.collect()) == kept_brute([(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()])
+
+
+def test_sets_meet_by_simhash_too(spark):
+    """Where no band of minima is shared, texts within four bits of each other's SimHash still meet, and are verified."""
+    from veritab.llm.simhash import DISTANCE, fingerprint
+
+    words = [f"w{i}" for i in range(600)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"v{i}" for i in range(600))]
+    prints = [fingerprint(x.encode()) for x in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= DISTANCE < (prints[0] ^ prints[2]).bit_count()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    apart = neardup.sketches(docs.select("doc_id", F.xxhash64("text").alias("h"), "text")).withColumn("bands", F.array(F.xxhash64("sid", F.lit("no other's"))))
+    ids = {r.sid: r.doc_id for r in apart.select("sid", "doc_id").collect()}
+    assert [{ids[r.a], ids[r.b]} for r in neardup.links(apart.drop("doc_id"), docs).collect()] == [{0, 1}]

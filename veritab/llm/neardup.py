@@ -2,8 +2,8 @@
 
 Texts are sets of hashed five-word shingles. Sets of SIMILARITY or more are sought by MinHash: they
 meet if all ROWS minima of one of BANDS bands are equal, which a pair of similarity 0.8 misses in
-all bands in 0.07 % of cases (a 64-bit SimHash differs in about ten bits there, beyond the reach of
-simhash.py's index). Pairs that meet are compared by size and by a byte of each minimum, and what
+all bands in 0.07 % of cases. Sets also meet by SimHash, as simhash.py finds fingerprints within four
+bits (at similarity 0.8 they differ in about ten, so this finds the closest only). Pairs that meet are compared by size and by a byte of each minimum, and what
 is left exactly, on whole sets; only pairs of SIMILARITY or more become links.
 
 Work is on distinct sets. In meetings of up to NEXT + 2 sets every pair is compared; in larger ones
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import HOTS, bounded_batches, checkpointed, looked_up, written
 from .components import components
-from .simhash import BROADCAST_ROWS, first_of_each
+from .simhash import BROADCAST_ROWS, fingerprint, first_of_each, near_links
 
 WORDS, SEED = 5, 42
 #: Similarity of a link, as a fraction.
@@ -89,24 +89,25 @@ def _id(own: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """docs without the text, with sid (of its set), n (shingles), near (a byte of each minimum) and bands."""
+    """docs without the text, with sid (of its set), n (shingles), near (a byte of each minimum), fp (its SimHash) and bands."""
     bounded_batches(docs.sparkSession)
     own = [f for f in docs.schema.fields if f.name != "text"]
-    schema = T.StructType([*own, T.StructField("sid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("near", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*own, T.StructField("sid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("near", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for b in batches:
-            sids, ns, near, bands = [], [], [], []
+            sids, ns, near, prints, bands = [], [], [], [], []
             for x in _texts(b.column("text")):
                 s = shingles(x)
                 m = minima(s)
                 sids.append(_id(s))
                 ns.append(len(s))
                 near.append((m & np.uint64(255)).astype(np.uint8).tobytes())
+                prints.append(fingerprint(x))
                 bands.append([xxhash.xxh64_intdigest(m[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)] if len(s) else [])
             flat = np.array([x for own in bands for x in own], np.uint64).view(np.int64)
             at = np.concatenate([[0], np.cumsum([len(x) for x in bands])]).astype(np.int32)
-            columns = [pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(ns, pa.int64()), pa.array(near, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
+            columns = [pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(ns, pa.int64()), pa.array(near, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in own], *columns], names=schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -225,12 +226,22 @@ def rare_keys(sets: DataFrame) -> DataFrame:
     return checkpointed(keys.select(F.xxhash64("x", "a", "b").alias("k"), "sid", "n"))
 
 
+def _by_simhash(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets by links of their fingerprints; of equal fingerprints the least set stands for the others."""
+    sets = checkpointed(distinct.where("n > 0").select("sid", "n", "fp"))
+    first = checkpointed(sets.groupBy("fp").agg(F.min(F.struct("sid", "n")).alias("o")))
+    same = looked_up(sets, first, "fp", sets.count()).select("sid", "n", "o")
+    ends = near_links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("o").alias("l")), "a").join(first.select(F.col("fp").alias("b"), "o"), "b")
+    near = same.union(ends.select("l.sid", "l.n", "o")).where((F.col("sid") != F.col("o.sid")) & _sized("n", "o.n"))
+    return near.select(*_ordered("sid", "o.sid")).distinct()
+
+
 def links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets that have the same components as all similar pairs that meet."""
     keyed = distinct.select(F.explode("bands").alias("k"), "sid", "n")
     total = BANDS * distinct.count()
     meetings = met(keyed, total)
-    pairs = checkpointed(_pairs(meetings))
+    pairs = checkpointed(_pairs(meetings).union(_by_simhash(distinct)).distinct())
     first = verified(pairs, distinct, docs)
     roots = components(first)
     waiting = checkpointed(_open(meetings, roots, total).select("sid").distinct())
