@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import paragraphs, rows_of
 from veritab.functions.literals import NOTHING, needed
-from veritab.operators import catalogue, rules
+from veritab.operators import catalogue, relational, rules
 
 
 def as_sets(pattern):
@@ -75,3 +75,11 @@ def test_one_look_at_the_paragraphs(spark, own, tmp_path):
         assert not any(path in f for f in part.inputFiles())
     assert rules.extract(own, {}) == []
     assert sum(p.count() for p in rules.extract(own.where("false"), CATALOGUE)) == 0
+
+
+def test_rules_look_where_rows_were_dealt(spark):
+    """What is asked of dealt rows stays behind the shuffle: a small file of many rows is read by few tasks."""
+    asked = relational.dealt(spark.range(50_000)).withColumn("x", F.col("id") % 7).where("x = 3")
+    after, before = asked._jdf.queryExecution().optimizedPlan().toString().split("Repartition ")
+    assert "% 7" in after and "% 7" not in before
+    assert asked.count() == 7143 and asked.columns == ["id", "x"]

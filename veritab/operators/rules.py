@@ -161,7 +161,7 @@ def candidates(paragraphs: DataFrame, rules: dict[int, Rule]) -> DataFrame:
     """
     group = {order: k // TOGETHER for k, order in enumerate(sorted(rules))}
     groups = F.create_map(*[F.lit(x) for pair in group.items() for x in pair])
-    fire = relational.dealt(paragraphs).withColumn("_fire", F.coalesce(may_fire(rules), F.array().cast("array<int>"))).where(F.size("_fire") > 0)
+    fire = relational.dealt(paragraphs).withColumn("_fire", F.coalesce(may_fire(rules), F.array().cast("array<int>")))  # a condition on _fire would work it out twice
     return stored_by(fire.withColumn("_group", F.explode(F.array_distinct(F.transform("_fire", lambda r: groups[r])))), "_group", "candidates")
 
 
