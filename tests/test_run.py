@@ -115,3 +115,25 @@ def test_declared_pairs_are_the_callers(spark):
     found = analyse(paragraphs(spark, rows), none[1], none[0], pairs=(pair,), coverage=(compare.Coverage("safety.", "CSR", "SAP"),)).findings.collect()
     assert {(f.conceptKey, f.title) for f in found} == {("schedule.visit_window~safety.followup_window", "+/-3 days and 30 days"), ("safety.followup_window", "Safety follow-up — required by CSR, absent from SAP")}
     assert all(f.regulatoryContext and f.suggestedAction for f in found)
+
+
+def test_policies_share_their_documents_tests(spark):
+    """Evidence of policies grows with policies and with tests, not with both at once; findings and occurrences are those of all facts."""
+    from veritab.operators import compare
+
+    policy, names = "No statistical comparison between treatment groups will be performed for safety data.", ["Fisher's exact test", "chi-squared test", "t-test"]
+    rows = []
+    for section in ("1", "2", "3"):
+        rows += rows_of(*[policy] * 4, *[f"Safety data are compared with the {name}." for name in names * 3], doc="P", doc_type="SAP", seq=1, section=section)
+    none = spark.createDataFrame([], ABBREVIATIONS), spark.createDataFrame([], SECTIONS)
+    run = analyse(paragraphs(spark, rows), none[1], none[0])
+    policies, tests = 12, 27
+    whole, summed = compare.policy_evidence(run.entities), [e for e in compare.all_evidence(run.entities, run.arithmetic, run.documents) if e.where("draft LIKE 'policy|%'").count()]
+    assert whole.count() == policies * (1 + tests)
+    assert [e.count() for e in summed] == [policies * (1 + len(names))]
+    heads = lambda e: {r.draft: r for r in compare.drafts_of(e).drop("occurrenceCount").collect()}
+    assert heads(summed[0]) == heads(whole) and len(heads(whole)) == policies
+    gathered = sorted(r.occurrences for r in compare.drafts_of(whole, gathered=True).collect())
+    found = run.findings.where("conceptKey = 'policy.safety_testing_contradiction'")
+    assert sorted(r.occurrences for r in found.collect()) == gathered and {len(o) for o in gathered} == {1 + 3 * len(names)}
+    assert "Join" not in run.findings.select("id", "title")._jdf.queryExecution().optimizedPlan().toString()

@@ -86,7 +86,7 @@ def analyse(
     done = checks.agg(F.count("*").alias("checks"), F.count_if(F.col("outcome") == "CONFIRMED").alias("confirmed")).first().asDict()
     say("COMPARE", done)
     evidence = stored(compare.all_evidence(entities, checks, documents, include_practice, pairs, coverage), "evidence")
-    findings = stored([compare.findings_of(evidence)], "findings")
+    findings = compare.with_occurrences(stored([compare.findings_of(evidence)], "findings"), evidence, entities)
     scored = {"findings": findings.count(), "conceptsCompared": compare.concepts_compared(entities, checks, len(pairs) + len(coverage)).first()[0]}
     if log:
         log.append("ANALYSIS_COMPLETED", f"{scored['findings']} findings from {scored['conceptsCompared']} concepts, declared checks and recomputations", timestamp)
