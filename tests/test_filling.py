@@ -1,6 +1,8 @@
 """Pages filled by Spark against the plain loop."""
 
+import functools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +72,14 @@ def test_pages_of_the_documents(spark):
     for r in docs:
         most = max(x[1] for x in item_rows("d", [Block("heading", r.source or ""), Block("para", r.text or "")], "h", 1))
         assert got[str(r.doc_id)] == (most, most - 1, 1)
+
+
+def test_lines_by_one_match(spark):
+    """Lines as the plain loop wraps them, whatever stands between words, and without a fold over a text's words."""
+    rng = random.Random(5)
+    texts = ["", " ", "\n\t", "w" * 300, "é" * 92, "é" * 93 + " a", "a b\u0085c  d", "𝒳" * 91 + " a", None]
+    texts += [rng.choice(["", " "]) + "".join("w" * rng.choice([1, 3, 9, 91, 92, 93, 200][: rng.randint(1, 7)]) + rng.choice([" ", "  ", "\n", " \t", "\r\n"]) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", filling.wrapped(F.col("t")).alias("l")).collect()
+    loop = lambda t: functools.reduce(lambda a, w: a[:-1] + [a[-1] + " " + w] if a and len(a[-1]) + 1 + len(w) <= 92 else [*a, w], [w for w in re.split(r"[ \t\n\x0b\f\r]+", t or "") if w], [])
+    assert {r.i: r.l for r in got} == {i: loop(t) for i, t in enumerate(texts)}
+    assert "aggregate" not in str(filling.wrapped(F.col("t")))

@@ -43,12 +43,9 @@ def _of(kind: Column, at: int, whole: bool = False) -> Column:
 
 
 def wrapped(text: Column, width: int = G.WIDTH) -> Column:
-    """Text as lines of whole words; a word longer than a line has one of its own."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
-    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
-    full = lambda a, w: (a["line"] != "") & (F.length(a["line"]) + 1 + F.length(w) > width)
-    step = lambda a, w: F.when(full(a, w), F.struct(F.concat(a["lines"], F.array(a["line"])).alias("lines"), w.alias("line"))).otherwise(F.struct(a["lines"].alias("lines"), F.ltrim(F.concat(a["line"], F.lit(" "), w)).alias("line")))
-    return F.aggregate(words, start, step, lambda a: F.when(a["line"] == "", a["lines"]).otherwise(F.concat(a["lines"], F.array(a["line"]))))
+    """Text as lines of whole words; a word longer than a line has one of its own. A line is the longest match from its first word on that ends with a word."""
+    words = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.regexp_extract_all(words, F.lit(rf"(?s)[^ ].{{0,{width - 1}}}(?= |\z)|[^ ]+"), F.lit(0))
 
 
 def lines_of(blocks: DataFrame) -> DataFrame:
