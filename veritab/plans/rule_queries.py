@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from veritab.functions import scalars as S
 from veritab.operators.catalogue import KEYWORDS, MISSPELLINGS
 from veritab.plans.queries import query, t
+from veritab.plans.scratch import stored
 
 #: Figures of a part that sentences hold; both dialects read these expressions.
 SLOTS = {
@@ -246,7 +247,7 @@ def pages_of_parts(spark, sf):
     """Parts as pages of documents: (items, descriptors). Ten parts a page, a paragraph each, below a heading, above a footer."""
     own = paragraphs(spark, sf).select("documentId", "documentType", "paraSeq", "lines", "kind")
     place = F.row_number().over(Window.partitionBy("documentId").orderBy("paraSeq")) - 1  # a document has some of the parts of a brand
-    own = own.withColumns({"at": place % 10, "pdfPage": F.floor(place / 10).cast("int") + 2})
+    own = stored([own.withColumns({"at": place % 10, "pdfPage": F.floor(place / 10).cast("int") + 2})], "parts")  # items are read more than once
 
     def item(seq, text, y, size, font) -> list:
         return ["documentId", "pdfPage", seq.cast("int").alias("itemSeq"), text.alias("text"), F.lit(68.0).alias("x"), y.cast("double").alias("y"), (F.length(text) * 4.5).alias("width"), F.lit(size).alias("height"), F.lit(0).alias("rotation"), font.alias("fontFamily")]
